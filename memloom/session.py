@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str = "memloom") -> SparkSession:
+    os.environ.setdefault("OMP_NUM_THREADS", "1")  # one thread per task; the tasks are the parallelism
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
