@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm.bisect import describe_clusters, similarity_clusters
 from memloom.llm.cooccur import clean_tag, pair_lift
+from memloom.llm.neardup import near_duplicates, pairs_within
 from memloom.llm.topn import top_n_per_group
 from memloom.llm.vectors import most_similar
 
@@ -101,8 +102,39 @@ named as (select id, min(root) c from reach group by id)
 select id as obs_id, c as cluster_obs_id from named where c in (select c from named group by c having count(*) >= 8)
 """
 
-QUERIES = {"p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
-ORACLES = {"p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
+
+def observation_text():
+    """content, or summary where content is null or blank"""
+    return F.when(F.col("content").rlike(r"(?U)\S"), F.col("content")).otherwise(F.col("summary"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "observations").select("space_id", "obs_id", observation_text().alias("text"))
+    return near_duplicates(rows, "space_id", "obs_id", "text", 0.7, 8).withColumnsRenamed({"grp": "space_id", "id": "obs_id", "cluster": "group_obs_id"})
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = p1_groups(spark, sf_dir).withColumnsRenamed({"obs_id": "id", "group_obs_id": "cluster"})
+    return pairs_within(groups).withColumnsRenamed({"id_a": "obs_id_a", "id_b": "obs_id_b"})
+
+
+P1_BODY = r"""
+with recursive texts as (select obs_id, any_value(space_id) space_id,
+    any_value(regexp_extract_all(lower(case when regexp_matches(content, '\S') then content else summary end), '[a-z0-9]+')) w
+  from observations group by obs_id),
+sets as (select obs_id, space_id, list_distinct(w) w from texts where len(w) >= 8),
+words as (select obs_id, space_id, unnest(w) x from sets),
+shared as (select a.obs_id a, b.obs_id b, count(*) o from words a join words b on a.space_id = b.space_id and a.x = b.x and a.obs_id < b.obs_id group by 1, 2),
+hit as (select a, b from shared join sets sa on sa.obs_id = a join sets sb on sb.obs_id = b where 10 * o >= 7 * (len(sa.w) + len(sb.w) - o)),
+link as (select a, b from hit union all select b, a from hit),
+reach(root, id) as (select obs_id, obs_id from sets union select r.root, l.b from reach r join link l on l.a = r.id where l.b > r.root),
+named as (select id, min(root) c from reach group by id)
+"""
+P1_SQL = P1_BODY + "select x.id as obs_id_a, y.id as obs_id_b from named x join named y on x.c = y.c and x.id < y.id"
+P1_GROUPS_SQL = P1_BODY + "select space_id, id as obs_id, c as group_obs_id, count(*) over (partition by c) as size from named join sets on obs_id = id"
+
+QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
+ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
 
 
 def queries():
