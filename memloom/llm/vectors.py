@@ -62,7 +62,7 @@ def vector_classes(df: DataFrame, group, item: str, vector: str, dim: int = 64,
     return members, classes.withColumn("head", F.col("ids")[0])
 
 
-def tiled(classes: DataFrame, tile: int = TILE) -> DataFrame:
+def tiled(classes: DataFrame, tile: int = TILE, key: str = "cls") -> DataFrame:
     """A row of ``classes`` for each pair of tiles of its group it takes part in: (grp, lo, hi, own) added.
 
     Only groups of more than ``tile`` rows are in the joined table, so it has at
@@ -70,7 +70,7 @@ def tiled(classes: DataFrame, tile: int = TILE) -> DataFrame:
     """
     large = classes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("grp", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
     k = F.coalesce("tiles", F.lit(1))
-    own = join_small(classes, large, "grp").withColumn("own", F.pmod(F.xxhash64("cls"), k).cast("int")).withColumn("tiles", k)
+    own = join_small(classes, large, "grp").withColumn("own", F.pmod(F.xxhash64(key), k).cast("int")).withColumn("tiles", k)
     both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     return both.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("other", "tiles")
 
@@ -90,7 +90,7 @@ def _quantise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         q = np.rint(u / step[:, None])
         err = np.sqrt(((u - q * step[:, None]) ** 2).sum(1)) + 1e-9
         q8 = q.astype(np.int8)
-        yield pd.DataFrame({"grp": pdf["grp"], "cls": pdf["cls"], "q": [r.tobytes() for r in q8], "step": step, "err": err})
+        yield pd.DataFrame({"grp": pdf["grp"], "cid": pdf["cid"], "q": [r.tobytes() for r in q8], "step": step, "err": err})
 
 
 def _kth(rows: np.ndarray, lower: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -109,7 +109,7 @@ def _tile_candidates(k: int, least: float):
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "b": []})
+            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": []})
 
         def parts(p):
             # Products of int8 numbers of 64 dimensions stay below 2^24, so float32 multiplies them exactly.
@@ -143,24 +143,43 @@ def _tile_candidates(k: int, least: float):
         else:
             wanted = (s + eps + ROUNDING >= _kth(ra, s - eps, len(qa), k)[ra]) | (s + eps + ROUNDING >= _kth(rb, s - eps, len(qb), k)[rb])
         ra, rb = ra[wanted], rb[wanted]
-        ca, cb = a["cls"].to_numpy(), b["cls"].to_numpy()
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "lo": lo, "hi": hi, "a": ca[ra], "b": cb[rb]})
+        # One row per left vector with all its partners: the pairs are most of what is moved.
+        ca, cb = a["cid"].to_numpy(), b["cid"].to_numpy()
+        order = np.argsort(ra, kind="stable")
+        ra, rb = ra[order], rb[order]
+        first = np.flatnonzero(np.r_[True, ra[1:] != ra[:-1]]) if len(ra) else ra
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "lo": lo, "hi": hi, "a": ca[ra[first]], "partners": np.split(cb[rb], first[1:])[: len(first)]})
 
     return run
 
 
-def _exact(key, pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-    if not len(pairs):
-        return pd.DataFrame({"a": [], "b": [], "sim": []})
-    at = {c: i for i, c in enumerate(vectors["cls"])}
-    x = np.frombuffer(b"".join(vectors["raw"]), np.float32).reshape(len(vectors), -1).astype(np.float64)
-    norm = np.sqrt((x * x).sum(1))
-    ia, ib = np.array([at[c] for c in pairs["a"]]), np.array([at[c] for c in pairs["b"]])
-    sim = np.empty(len(ia))
-    for i in range(0, len(ia), 65536):
-        j, m = ia[i : i + 65536], ib[i : i + 65536]
-        sim[i : i + 65536] = np.einsum("ij,ij->i", x[j], x[m]) / (norm[j] * norm[m])
-    return pd.DataFrame({"a": pairs["a"], "b": pairs["b"], "sim": np.round(sim, 6)})
+def _exact(k: int, least: float):
+    def run(key, pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        if not len(pairs):
+            return pd.DataFrame({"cid": [], "to": [], "sim": []})
+        order = np.argsort(vectors["cid"].to_numpy())
+        cid, head = vectors["cid"].to_numpy()[order], vectors["head"].to_numpy()[order]
+        x = np.frombuffer(b"".join(vectors["raw"].to_numpy()[order]), np.float32).reshape(len(cid), -1).astype(np.float64)
+        norm = np.sqrt((x * x).sum(1))
+        sizes = pairs["partners"].map(len).to_numpy()
+        ia = np.searchsorted(cid, np.repeat(pairs["a"].to_numpy(), sizes))
+        ib = np.searchsorted(cid, np.concatenate(pairs["partners"].to_numpy()))
+        sim = np.empty(len(ia))
+        for i in range(0, len(ia), 65536):
+            j, m = ia[i : i + 65536], ib[i : i + 65536]
+            sim[i : i + 65536] = np.einsum("ij,ij->i", x[j], x[m]) / (norm[j] * norm[m])
+        sim = np.round(sim, 6)
+        # The k best of this pair of tiles, for the rows of either side.
+        near = sim >= least
+        own, to, sim = np.r_[ia[near], ib[near]], np.r_[ib[near], ia[near]], np.r_[sim[near], sim[near]]
+        rank = np.argsort(np.argsort(head))
+        order = np.lexsort((rank[to], -sim, own))
+        own, to, sim = own[order], to[order], sim[order]
+        start = np.searchsorted(own, own)
+        best = np.arange(len(own)) - start < k
+        return pd.DataFrame({"cid": cid[own[best]], "to": cid[to[best]], "sim": sim[best]})
+
+    return run
 
 
 def most_similar(df: DataFrame, group: str, item: str, vector: str, k: int = 5, least: float = 0.8, dim: int = 64, tile: int = TILE) -> DataFrame:
@@ -172,24 +191,24 @@ def most_similar(df: DataFrame, group: str, item: str, vector: str, k: int = 5,
     is exact: the int8 products only discard pairs their error bounds rule out.
     """
     members, classes = vector_classes(df, group, item, vector, dim, k + 1)
-    classes = materialize(classes, "classes")
-    coded = classes.select("grp", "cls", "raw").mapInPandas(_quantise, "grp string, cls binary, q binary, step double, err double")
+    classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
+    coded = classes.select("grp", "cid", "raw").mapInPandas(_quantise, "grp string, cid long, q binary, step double, err double")
     keys = ["grp", "lo", "hi"]
     candidates = materialize(
-        spread(tiled(coded, tile), *keys).groupBy(*keys).applyInPandas(_tile_candidates(k, least), "grp string, lo int, hi int, a binary, b binary"), "candidates"
+        spread(tiled(coded, tile, "cid"), *keys).groupBy(*keys).applyInPandas(_tile_candidates(k, least), "grp string, lo int, hi int, a long, partners array<long>"), "candidates"
     )
-    wanted = candidates.select(*keys, F.explode(F.array("a", "b")).alias("cls")).distinct()
-    vectors = wanted.join(classes.select("grp", "cls", "raw"), ["grp", "cls"]).select(F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h"), "cls", "raw")
-    exact = candidates.groupBy(*keys).cogroup(vectors.groupBy("g", "l", "h")).applyInPandas(_exact, "a binary, b binary, sim double").where(F.col("sim") >= least)
-    heads = classes.select("cls", "ids", "head", F.lit(1.0).alias("sim"))
-    both = exact.select(F.col("a").alias("cls"), F.col("b").alias("to"), "sim").unionByName(exact.select(F.col("b").alias("cls"), F.col("a").alias("to"), "sim"))
-    offered = both.join(heads.select(F.col("cls").alias("to"), "ids", "head"), "to")
-    best = offered.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("sim"), "head"))).where(F.col("r") <= k).select("cls", "sim", "ids")
+    named = [F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h")]
+    wanted = candidates.select(*named, F.explode(F.concat(F.array("a"), "partners")).alias("cid")).distinct()
+    vectors = wanted.join(classes.select("cid", "raw", "head"), "cid")
+    offers = candidates.groupBy(*keys).cogroup(vectors.groupBy("g", "l", "h")).applyInPandas(_exact(k, least), "cid long, to long, sim double")
+    heads = classes.select("cid", "ids", "head", F.lit(1.0).alias("sim"))
+    offered = offers.join(heads.select(F.col("cid").alias("to"), "ids", "head"), "to")
+    best = offered.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "head"))).where(F.col("r") <= k).select("cid", "sim", "ids")
     # A class offers its smallest ids to its own members as well.
-    own = heads.where(F.size("ids") > 1).select("cls", "sim", "ids")
-    choice = best.unionByName(own).select("cls", "sim", F.explode("ids").alias("similar"))
-    top = choice.withColumn("r", F.row_number().over(Window.partitionBy("cls").orderBy(F.desc("sim"), "similar"))).where(F.col("r") <= k + 1).select("cls", "sim", "similar")
+    own = heads.where(F.size("ids") > 1).select("cid", "sim", "ids")
+    choice = best.unionByName(own).select("cid", "sim", F.explode("ids").alias("similar"))
+    top = choice.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "similar"))).where(F.col("r") <= k + 1).select("cid", "sim", "similar")
     # Of k + 1 offers a member has at most itself to leave out.
-    lists = top.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("down"), "similar"))).alias("offers"))
-    mine = members.join(lists, "cls").select("grp", "id", F.slice(F.filter("offers", lambda o: o["similar"] != F.col("id")), 1, k).alias("offers"))
+    lists = top.groupBy("cid").agg(F.array_sort(F.collect_list(F.struct((-F.col("sim")).alias("down"), "similar"))).alias("offers"))
+    mine = members.join(classes.select("cls", "cid").join(lists, "cid"), "cls").select("grp", "id", F.slice(F.filter("offers", lambda o: o["similar"] != F.col("id")), 1, k).alias("offers"))
     return mine.select("grp", "id", F.posexplode("offers")).select("grp", "id", F.col("col.similar").alias("similar"), (-F.col("col.down")).alias("sim"), (F.col("pos") + 1).alias("rank"))
