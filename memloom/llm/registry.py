@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from memloom.llm.bisect import describe_clusters, similarity_clusters
 from memloom.llm.cooccur import clean_tag, pair_lift
+from memloom.llm.encode import encode_corpus
 from memloom.llm.neardup import near_duplicates, pairs_within
+from memloom.llm.pack import pack
 from memloom.llm.topn import top_n_per_group
 from memloom.llm.vectors import most_similar
 
@@ -133,7 +135,23 @@ named as (select id, min(root) c from reach group by id)
 P1_SQL = P1_BODY + "select x.id as obs_id_a, y.id as obs_id_b from named x join named y on x.c = y.c and x.id < y.id"
 P1_GROUPS_SQL = P1_BODY + "select space_id, id as obs_id, c as group_obs_id, count(*) over (partition by c) as size from named join sets on obs_id = id"
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = p7_ids(spark, sf_dir).select("doc_id", F.size("ids").alias("n"))
+    return pack(sized, _table(spark, sf_dir, "token_budgets"), "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the packing of each budget uses and leaves."""
+    per = p8_packed(spark, sf_dir).groupBy("budget_id", "capacity").agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    return per.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
+
+
+QUERIES = {"p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
 ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
 
 
