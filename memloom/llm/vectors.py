@@ -109,7 +109,7 @@ def _tile_candidates(k: int, least: float):
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": []})
+            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": pd.Series([], dtype=object)})
 
         def parts(p):
             # Products of int8 numbers of 64 dimensions stay below 2^24, so float32 multiplies them exactly.
@@ -148,7 +148,7 @@ def _tile_candidates(k: int, least: float):
         order = np.argsort(ra, kind="stable")
         ra, rb = ra[order], rb[order]
         first = np.flatnonzero(np.r_[True, ra[1:] != ra[:-1]]) if len(ra) else ra
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "lo": lo, "hi": hi, "a": ca[ra[first]], "partners": np.split(cb[rb], first[1:])[: len(first)]})
+        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "lo": lo, "hi": hi, "a": ca[ra[first]], "partners": pd.Series(np.split(cb[rb], first[1:])[: len(first)], dtype=object)})
 
     return run
 
