@@ -9,6 +9,7 @@ from memloom.llm.cooccur import clean_tag, pair_lift
 from memloom.llm.encode import encode_corpus
 from memloom.llm.neardup import near_duplicates, pairs_within
 from memloom.llm.pack import pack
+from memloom.llm.stuffing import spam_scores
 from memloom.llm.topn import top_n_per_group
 from memloom.llm.vectors import most_similar
 
@@ -151,7 +152,16 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.withColumn("fill", F.round(F.col("tokens") / (F.col("containers") * F.col("capacity")), 6))
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", 100)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_scores(spark, sf_dir).where("is_spam").select("doc_id")
+
+
+QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
 ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
 
 
