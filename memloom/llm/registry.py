@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from memloom.llm.bisect import describe_clusters, similarity_clusters
 from memloom.llm.cooccur import clean_tag, pair_lift
 from memloom.llm.encode import encode_corpus
+from memloom.llm.handwritten import file_origins
 from memloom.llm.neardup import near_duplicates, pairs_within
 from memloom.llm.pack import pack
 from memloom.llm.stuffing import spam_scores
@@ -153,6 +154,22 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def p6_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "code_elements").where("kind = 'module'")
+    return file_origins(files.select("space_id", F.coalesce("file_path", F.split("path", "#")[0]).alias("file_path"), "content"), "space_id", "file_path", "content")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_origins(spark, sf_dir).where("not hand_written").select("space_id", "file_path")
+
+
+def p6_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of ``bm25_results`` that lie in files which aren't hand-written."""
+    hits = _table(spark, sf_dir, "bm25_results").select("space_id", F.expr("substring(split(path, '#')[0], 2)").alias("plain")).distinct()
+    found = p6_found(spark, sf_dir).withColumn("plain", F.translate("file_path", "\\", "/"))
+    return hits.join(found, ["space_id", "plain"]).select("space_id", "file_path")
+
+
 def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spam_scores(_table(spark, sf_dir, "documents"), "doc_id", "text", 100)
 
@@ -161,7 +178,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).where("is_spam").select("doc_id")
 
 
-QUERIES = {"p9_found": p9_found, "p9_scores": p9_scores, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
+QUERIES = {"p6_found": p6_found, "p6_origins": p6_origins, "p6_hits": p6_hits, "p9_found": p9_found, "p9_scores": p9_scores, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
 ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
 
 
