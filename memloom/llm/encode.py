@@ -30,7 +30,7 @@ from memloom.sources.small import join_small
 
 FILTER_BITS = 1 << 22  # a chunk that hashes to an unset place is in the corpus once
 WINDOW = 16
-MASK = 63  # about one cut in 64 places
+MASK = 31  # of the places the first hash leaves; about one cut in 128 in all
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: the split pattern of the byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -45,6 +45,8 @@ def encoding(path: str = VOCABULARY):
     return tiktoken.Encoding("memloom", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
 _GEAR = np.random.default_rng(20240229).integers(0, 1 << 32, 256, dtype=np.uint64)
 
 
@@ -52,39 +54,44 @@ def cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ascending byte places in ``data`` at which its texts, beginning at ``starts``, are cut; whole texts' ends left out."""
     if len(data) <= WINDOW:
         return np.zeros(0, np.int64)
-    before, now = data[:-1], data[1:]
-    at = np.flatnonzero(((now == 32) | (now == 10)) & (before > 32) & (before < 127)) + 1
+    at = np.flatnonzero(_BLANK[data[2:]]) + 2
+    before = data[at - 1]
+    # A first hash over two bytes leaves a quarter of the places to the one over the window.
+    at = at[(before > 32) & (before < 127) & (((before ^ (data[at - 2] >> 1)) & 3) == 0)]
     # 0xE3 0x80 0x81/0x82 after U+4E00..U+9EFF (first byte E4 to E9, not the reserved ends) or hiragana letters.
-    cjk = np.flatnonzero((data[:-2] == 0xE3) & (data[1:-1] == 0x80) & ((data[2:] == 0x81) | (data[2:] == 0x82)))
-    cjk = cjk[cjk >= 3]
-    lead, mid, low = data[cjk - 3], data[cjk - 2], data[cjk - 1]
-    han = ((lead >= 0xE5) & (lead <= 0xE8)) | ((lead == 0xE4) & (mid >= 0xB8)) | ((lead == 0xE9) & (mid < 0xBE))
-    kana = (lead == 0xE3) & (((mid == 0x81) & (low >= 0x81)) | ((mid == 0x82) & (low >= 0x80) & (low <= 0x96)))
-    at = np.union1d(at, cjk[han | kana])
-    own = starts[np.searchsorted(starts, at, "right") - 1]
-    at = at[at - own >= WINDOW]
+    cjk = np.flatnonzero(data == 0xE3)
+    cjk = cjk[(cjk >= 3) & (cjk < len(data) - 2)]
+    cjk = cjk[(data[cjk + 1] == 0x80) & ((data[cjk + 2] == 0x81) | (data[cjk + 2] == 0x82))]
+    if len(cjk):
+        lead, mid, low = data[cjk - 3], data[cjk - 2], data[cjk - 1]
+        han = ((lead >= 0xE5) & (lead <= 0xE8)) | ((lead == 0xE4) & (mid >= 0xB8)) | ((lead == 0xE9) & (mid < 0xBE))
+        kana = (lead == 0xE3) & (((mid == 0x81) & (low >= 0x81)) | ((mid == 0x82) & (low >= 0x80) & (low <= 0x96)))
+        at = np.sort(np.concatenate([at, cjk[(han | kana) & (((low ^ (mid >> 1)) & 3) == 0)]]))
+    at = at[at >= WINDOW]
     h = np.zeros(len(at), np.uint64)
     for k in range(1, WINDOW + 1):
         h += _GEAR[data[at - k]] << np.uint64(k)
-    return at[((h >> np.uint64(24)) & np.uint64(MASK)) == 0]
+    at = at[((h >> np.uint64(24)) & np.uint64(MASK)) == 0]
+    return at[at - starts[np.searchsorted(starts, at, "right") - 1] >= WINDOW]
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
     """(row number, chunks) of every non-empty text."""
-    text = batch.column("text")
-    raw = [None if x is None else x.encode() for x in text.to_pylist()]
-    sizes = np.array([len(x) if x else 0 for x in raw], np.int64)
-    data = b"".join(x for x in raw if x)
-    starts = np.cumsum(sizes) - sizes
+    text = batch.column("text").cast(pa.large_string())
+    offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + len(text) + 1]
+    sizes = np.diff(offsets) * np.asarray(text.is_valid())
     used = np.flatnonzero(sizes)
     if not len(used):
         return
-    at = cuts(np.frombuffer(data, np.uint8), starts[used])
-    edge = np.searchsorted(at, np.r_[starts[used], len(data)])
-    for n, row in enumerate(used):
-        inner = at[edge[n] : edge[n + 1]]
-        bounds = [int(starts[row]), *inner.tolist(), int(starts[row] + sizes[row])]
-        yield int(row), [data[s:e] for s, e in zip(bounds[:-1], bounds[1:]) if e > s]
+    first, last = int(offsets[0]), int(offsets[-1])
+    view = memoryview(text.buffers()[2])[first:last]
+    starts = offsets[:-1][used] - first
+    at = cuts(np.frombuffer(view, np.uint8), starts)
+    edge = np.searchsorted(at, np.r_[starts, last - first])
+    for n, row in enumerate(used.tolist()):
+        end = int(starts[n] + sizes[row])
+        bounds = [int(starts[n]), *(x for x in at[edge[n] : edge[n + 1]].tolist() if x < end), end]
+        yield row, [bytes(view[s:e]) for s, e in zip(bounds[:-1], bounds[1:])]
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,35 +101,47 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], ["key", "n"])
 
 
-def _encode(shared, path: str):
-    kind = pa.list_(pa.int32())
+def _lists(parts: list[np.ndarray | None]) -> pa.Array:
+    """A column of int32 lists; None is null."""
+    sizes = np.array([0 if x is None else len(x) for x in parts], np.int64)
+    flat = np.concatenate([x for x in parts if x is not None and len(x)] or [np.zeros(0, np.uint32)]).astype(np.int32)
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    null = np.array([x is None for x in parts], bool)
+    return pa.ListArray.from_arrays(offsets, pa.array(flat), mask=pa.array(null))
+
 
+def _encode(shared, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, enc = shared.value, encoding(path)
+        nothing = np.zeros(0, np.uint32)
+
+        def encode(raw: bytes) -> np.ndarray:
+            return enc.encode_to_numpy(raw.decode(), disallowed_special=())
+
         for b in batches:
             ids = b.column("id").to_pylist()
             rows: list[tuple] = []
             filled = set()
             for row, parts in _chunks(b):
                 filled.add(row)
-                pos, run_ = 0, b""
+                pos, plain = 0, []
                 for c in parts:
                     h = xxhash.xxh3_64_intdigest(c) % FILTER_BITS
                     if bits[h >> 3] >> (h & 7) & 1:
-                        if run_:
-                            rows.append((ids[row], pos, False, enc.encode_ordinary(run_.decode()), None, None))
-                            pos, run_ = pos + 1, b""
+                        if plain:
+                            rows.append((ids[row], pos, False, encode(b"".join(plain)), None, None))
+                            pos, plain = pos + 1, []
                         rows.append((ids[row], pos, False, None, xxhash.xxh3_128_digest(c), c.decode()))
                         pos += 1
                     else:
-                        run_ += c
-                if run_:
-                    rows.append((ids[row], pos, pos == 0, enc.encode_ordinary(run_.decode()), None, None))
-            rows += [(ids[r], 0, True, [], None, None) for r in range(len(ids)) if r not in filled]
+                        plain.append(c)
+                if plain:
+                    rows.append((ids[row], pos, pos == 0, encode(b"".join(plain)), None, None))
+            rows += [(ids[r], 0, True, nothing, None, None) for r in range(len(ids)) if r not in filled]
             for s in range(0, len(rows), 2048):
                 part = list(zip(*rows[s : s + 2048]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(part[0], b.schema.field("id").type), pa.array(part[1], pa.int32()), pa.array(part[2]), pa.array(part[3], kind), pa.array(part[4], pa.binary()), pa.array(part[5], pa.string())],
+                    [pa.array(part[0], b.schema.field("id").type), pa.array(part[1], pa.int32()), pa.array(part[2]), _lists(part[3]), pa.array(part[4], pa.binary()), pa.array(part[5], pa.string())],
                     ["id", "pos", "whole", "ids", "key", "chunk"],
                 )
 
@@ -138,9 +157,9 @@ def _encode_once(path: str):
             for key, chunk in zip(b.column("key").to_pylist(), b.column("chunk").to_pylist()):
                 if key != last:
                     keys.append(key)
-                    ids.append(enc.encode_ordinary(chunk))
+                    ids.append(enc.encode_to_numpy(chunk, disallowed_special=()))
                     last = key
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.list_(pa.int32()))], ["key", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), _lists(ids)], ["key", "shared"])
 
     return run
 
