@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from memloom.plans import base, retrieval, stats  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["retrieve_full"](spark, sf_dir)
+    return base.QUERIES["retrieve_full"](spark, sf_dir)
 
 
 def queries():
-    return QUERIES
+    return base.QUERIES
 
 
 def oracle_sql():
-    return ORACLES
+    return base.ORACLES
