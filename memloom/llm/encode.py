@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.sources.shared import materialize
-from memloom.sources.small import join_small
+from memloom.sources.small import enough_tasks, join_small
 
 FILTER_BITS = 1 << 22  # a chunk that hashes to an unset place is in the corpus once
 WINDOW = 16
@@ -177,6 +177,7 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
     again = rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
     if again.limit(1).count():
         rows = join_small(rows, again, "id", "left_anti").unionByName(join_small(rows, again, "id", "left_semi").dropDuplicates(["id"]))
+    rows = enough_tasks(rows, "id")
     counted = rows.mapInArrow(_places, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     # Bits set by the chunks that occur again; at most FILTER_BITS / 8 bytes come back, in pieces of 64 bits.
     place = F.pmod(F.col("key").cast("decimal(20,0)") + F.when(F.col("key") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0)), F.lit(FILTER_BITS)).cast("int")

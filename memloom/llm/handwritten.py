@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.sources.shared import materialize
+from memloom.sources.small import enough_tasks
 
 _OTHER = r"""|(?P<text>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`)|(?P<number>0[xX][0-9a-fA-F]+|\d[\d_.]*(?:[eE][+-]?\d+)?)|(?P<name>[^\W\d]\w*)|(?P<mark>[^\w\s])"""
 _TOKEN = re.compile(r"(?P<comment>//[^\n]*|\#(?!\[|include|define|if|endif|pragma)[^\n]*|/\*.*?\*/|<!--.*?-->)" + _OTHER, re.S)
@@ -186,7 +187,7 @@ def file_origins(df: DataFrame, repository: str, path: str, content: str) -> Dat
     """
     rows = df.select(F.col(repository).alias("grp"), F.col(path).alias("path"), F.col(content).alias("content")).where("grp is not null and path is not null")
     # The features are a hundredth of the content, so repeated files are dropped after measuring, not before.
-    files = materialize(rows.mapInPandas(_measured, SCHEMA).dropDuplicates(["grp", "path"]), "files")
+    files = materialize(enough_tasks(rows, "path").mapInPandas(_measured, SCHEMA).dropDuplicates(["grp", "path"]), "files")
     key = ["grp", "path"]
     libraries = files.select("grp", F.explode("library").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     in_library = files.select(*key, F.explode("versioned").alias("name")).join(libraries, "name", "left_semi").select(*key).distinct().withColumn("library_dir", F.lit(True))

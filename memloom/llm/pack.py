@@ -10,17 +10,17 @@ the sequences a shard could not fill are emptied and packed again together.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from memloom.sources.shared import materialize
 
 SHARD = 50_000  # documents packed by one task
 AGAIN = 256  # shards whose unfilled sequences are packed together
 FULL = 0.97
+MOST_BUDGETS = 1000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
 
 
@@ -73,8 +73,13 @@ def pack(sized: DataFrame, budgets: DataFrame, item: str, shard_rows: int = SHAR
     docs = sized.select(F.col(item).alias("id"), F.col("n").cast("long").alias("n")).where("id is not null and n > 0")
     shards = max(1, -(-docs.count() // shard_rows))
     plans = budgets.where("budget_id is not null and capacity_tokens >= 1").select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
-    # Every text is set against every budget by definition: a handful of rows.
-    each = docs.join(F.broadcast(plans) if plans.limit(1001).count() <= 1000 else plans, F.lit(True))
+    # Every text is set against every budget by definition; there are a handful, which become a literal.
+    told = plans.limit(MOST_BUDGETS + 1).collect()
+    if len(told) > MOST_BUDGETS:
+        raise ValueError(f"more than {MOST_BUDGETS} budgets: pack them in several calls")
+    kind = plans.schema["budget_id"].dataType
+    each = docs.withColumn("plan", F.explode(F.array(*[F.struct(F.lit(r["budget_id"]).cast(kind).alias("budget_id"), F.lit(r["capacity"]).alias("capacity")) for r in told]).cast(T.ArrayType(plans.schema))))
+    each = each.select("id", "n", "plan.budget_id", "plan.capacity")
     whole = F.floor(F.col("n") / F.col("capacity")).cast("long")
     full = each.where("n >= capacity").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), whole - 1))).select(
         "budget_id", "capacity", F.concat_ws("-", F.col("budget_id").cast("string"), F.lit("f"), F.col("id").cast("string"), F.col("piece").cast("string")).alias("container"),

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.sources.shared import materialize
-from memloom.sources.small import join_small
+from memloom.sources.small import enough_tasks
 
 #: Frequent function words of the four languages written with spaces.
 FUNCTION_WORDS = {
@@ -189,7 +189,7 @@ def spam_scores(df: DataFrame, item: str, text: str, shortest: int = 100) -> Dat
     """
     rows = df.select(F.col(item).alias("id"), F.col(text).alias("text")).where("id is not null").where(F.char_length("text") >= shortest)
     kind = dict(rows.dtypes)["id"]
-    points = materialize(rows.mapInPandas(_measured, f"id {kind}, lang string, x array<double>, share double").dropDuplicates(["id"]), "points")
+    points = materialize(enough_tasks(rows, "id").mapInPandas(_measured, f"id {kind}, lang string, x array<double>, share double").dropDuplicates(["id"]), "points")
     d = len(FEATURES)
     # A text of no known language is set against the texts of all: stuffed pages have no function words to know it by.
     judged, points = points, points.select(F.explode(F.array_distinct(F.array("lang", F.lit("und")))).alias("lang"), "x")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from memloom.sources.shared import materialize
-from memloom.sources.small import join_small
+from memloom.sources.small import enough_tasks, join_small
 
 TILE = 16384
 BLOCK = 512
@@ -53,7 +53,7 @@ def vector_classes(df: DataFrame, group, item: str, vector: str, dim: int = 64,
     smallest ids of its copies and the smallest of all.
     """
     rows = df.select(F.expr(group).cast("string").alias("grp") if isinstance(group, str) else group.alias("grp"), F.col(item).alias("id"), F.col(vector).alias("vec"))
-    parsed = rows.where("grp is not null and id is not null and vec is not null").mapInArrow(_usable(dim), "grp string, id string, raw binary")
+    parsed = enough_tasks(rows.where("grp is not null and id is not null and vec is not null"), "id").mapInArrow(_usable(dim), "grp string, id string, raw binary")
     coded = parsed.withColumn("cls", F.unhex(F.md5(F.concat(F.col("raw"), F.encode("grp", "utf-8")))))
     members = coded.select("grp", "id", "cls").distinct()
     # The rank limit is applied before the shuffle too, so a vector with millions of copies sends a few rows per task.
