@@ -144,6 +144,8 @@ def measure(text: str) -> tuple[str, list[float], float]:
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
+        if not len(pdf):
+            continue
         rows = [measure(t) for t in pdf["text"]]
         yield pd.DataFrame({"id": pdf["id"], "lang": [r[0] for r in rows], "x": [r[1] for r in rows], "share": [r[2] for r in rows]})
 
@@ -159,6 +161,8 @@ def _moments(points: DataFrame, centre: dict, inverse: dict, limit: float) -> tu
                 x = x[np.einsum("ij,jk,ik->i", x, inverse[lang], x) <= limit]
                 n, s, q = acc.get(lang, (0, 0.0, 0.0))
                 acc[lang] = n + len(x), s + x.sum(0), q + x.T @ x
+        if not acc:
+            return
         yield pd.DataFrame(
             {"lang": list(acc), "n": [v[0] for v in acc.values()], "s": [list(map(float, v[1])) for v in acc.values()], "q": [list(map(float, np.ravel(v[2]))) for v in acc.values()]}
         )
