@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.vectors import spread
+from memloom.llm.workers import batches, cogroup
 from memloom.operators.components import connected_components
 from memloom.sources.shared import materialize
 from memloom.sources.small import join_small
@@ -34,7 +35,7 @@ GROUPS = 1 << 18  # fine groups; their frequencies are a table of this fixed siz
 DIMS = 128  # coordinates of a point, four bits each
 PAGE = 16
 TILE = 8192
-PAIRS = 1 << 18  # row pairs compared at a time
+PAIRS = 1 << 16  # row pairs compared at a time: three arrays of 8 MB
 
 
 def _needed(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
@@ -44,9 +45,9 @@ def _needed(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-num * (a + b)) // den)
 
 
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(GROUPS, np.int64)
-    for b in batches:
+    for b in it:
         words = b.column("words")
         flat = words.flatten().to_numpy(zero_copy_only=False) & (GROUPS - 1)
         row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
@@ -56,9 +57,9 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _route(frequency, t: Fraction):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequency.value
-        for b in batches:
+        for b in it:
             words = b.column("words")
             sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
             flat = words.flatten().to_numpy(zero_copy_only=False)
@@ -132,8 +133,8 @@ def _join_subtrees(t: Fraction):
             same = whole[on][i]
             keep = (~same | (p <= q)) & (np.maximum(most_size[p], 0) * t.denominator >= t.numerator * least_size[q]) & (most_size[q] * t.denominator >= t.numerator * least_size[p])
             p, q = p[keep], q[keep]
-            for c in range(0, len(p), PAIRS // 8):
-                pp, qq = p[c : c + PAIRS // 8], q[c : c + PAIRS // 8]
+            for c in range(0, len(p), PAIRS // 4):
+                pp, qq = p[c : c + PAIRS // 4], q[c : c + PAIRS // 4]
                 bound = np.minimum(top[pp], top[qq]).sum(1, dtype=np.int64) + np.minimum(most[pp], most[qq])
                 live = (bound >= _needed(least_size[pp], least_size[qq], t)) & ((pp != qq) | (end[pp] - first[pp] > 1))
                 pp, qq = pp[live], qq[live]
@@ -155,7 +156,7 @@ def _join_subtrees(t: Fraction):
         cid, grp = pdf["cid"].to_numpy(), pdf["grp"].to_numpy()
         return pd.DataFrame({"grp": grp[ra], "a": np.minimum(cid[ra], cid[rb]), "b": np.maximum(cid[ra], cid[rb])}).drop_duplicates()
 
-    def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def go(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # A partition holds whole (grp, g, lo, hi) runs in order; the last run of a batch may go on in the next.
         rest = None
 
@@ -163,7 +164,7 @@ def _join_subtrees(t: Fraction):
             n = part.groupby("run")["cid"].transform("size")
             return part[n > 1]
 
-        for pdf in batches:
+        for pdf in it:
             rest = pdf if rest is None or not len(rest) else pd.concat([rest, pdf], ignore_index=True)
             if not len(rest):
                 continue
@@ -180,6 +181,7 @@ def _join_subtrees(t: Fraction):
         if rest is not None and len(rest):
             key = rest[["grp", "g", "lo", "hi"]]
             part = ready(rest.assign(run=(key != key.shift()).any(axis=1).cumsum().to_numpy()))
+            rest = None
             if len(part):
                 yield compare(part)
 
@@ -253,13 +255,13 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
     classes = materialize(
         named.groupBy("grp", "cls").agg(F.min("id").alias("head"), F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
-    counted = classes.select("words").mapInArrow(_frequencies, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = classes.select("words").mapInArrow(batches(_frequencies), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     table = np.zeros(GROUPS, np.int64)
     seen = counted.toPandas()  # at most GROUPS rows, whatever the collection
     table[seen["g"].to_numpy()] = seen["n"].to_numpy()
     frequency = spark.sparkContext.broadcast(table)
     routed = materialize(
-        classes.select("grp", "cid", "words").mapInArrow(_route(frequency, t), "grp string, g int, cid long, size int, place int, point binary"), "routed"
+        classes.select("grp", "cid", "words").mapInArrow(batches(_route(frequency, t)), "grp string, g int, cid long, size int, place int, point binary"), "routed"
     )
     # At most rows / tile subtrees are large enough to be cut.
     often = routed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("g")
@@ -271,14 +273,14 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
         spread(own.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("tiles", "other"), *keys)
         .sortWithinPartitions(*keys, F.expr("own <> lo"), "size", "point")
     )
-    candidates = materialize(subtrees.mapInPandas(_join_subtrees(t), "grp string, a long, b long"), "candidates")
+    candidates = materialize(subtrees.mapInPandas(batches(_join_subtrees(t)), "grp string, a long, b long"), "candidates")
     large = classes.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
     placed = join_small(candidates, large, "grp").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     ta, tb = F.pmod(F.xxhash64("a"), F.col("tiles")), F.pmod(F.xxhash64("b"), F.col("tiles"))
     pairs = placed.select("grp", F.least(ta, tb).alias("lo"), F.greatest(ta, tb).alias("hi"), "a", "b")
     wanted = pairs.select(F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.explode(F.array("a", "b")).alias("cid")).distinct()
     rows = wanted.join(classes.select("cid", "head", "words"), "cid")
-    links = pairs.groupBy("grp", "lo", "hi").cogroup(rows.groupBy("g", "l", "h")).applyInPandas(_verify(t), "src string, dst string")
+    links = pairs.groupBy("grp", "lo", "hi").cogroup(rows.groupBy("g", "l", "h")).applyInPandas(cogroup(_verify(t)), "src string, dst string")
     components = connected_components(links)
     cluster = classes.select("cls", F.col("head").alias("node")).join(components, "node", "left").select("cls", F.coalesce("component", "node").alias("cluster"))
     told = members.join(cluster, "cls")
