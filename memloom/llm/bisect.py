@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from memloom.llm.vectors import BLOCK, spread, tiled, vector_classes
-from memloom.llm.workers import batches, group
+from memloom.llm.workers import batched, grouped
 from memloom.operators.components import connected_components
 from memloom.sources.shared import materialize
 from memloom.sources.small import join_small
@@ -131,11 +131,11 @@ def bisecting_leaves(classes: DataFrame, radius: float, node: int = NODE) -> Dat
         marked = join_small(rows, large, "node", "inner")
         sample = marked.where(F.pmod(F.xxhash64("cls", F.lit(7)), F.col("n")) < 2 * SAMPLE)
         drawn = sample.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("cls"))).where(F.col("r") <= SAMPLE)
-        centres = drawn.groupBy("node").applyInPandas(group(_fit), "node string, c0 binary, c1 binary")
-        rows = materialize(join_small(rows, materialize(centres, "centres"), "node").mapInPandas(batches(_assign), schema), "nodes")
+        centres = drawn.groupBy("node").applyInPandas(grouped(_fit), "node string, c0 binary, c1 binary")
+        rows = materialize(join_small(rows, materialize(centres, "centres"), "node").mapInPandas(batched(_assign), schema), "nodes")
     over = rows.groupBy("node").agg(F.ceil(F.count("*") / node).alias("cuts")).where(F.col("cuts") > 1)
     rows = join_small(rows, over, "node").withColumn("node", F.concat_ws("#", "node", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("string")))
-    return spread(rows.select("grp", "cls", "raw", "head", "node"), "node").groupBy("node").applyInPandas(group(_leaves(radius)), "grp string, cls binary, raw binary, head string, leaf string, unit string")
+    return spread(rows.select("grp", "cls", "raw", "head", "node"), "node").groupBy("node").applyInPandas(grouped(_leaves(radius)), "grp string, cls binary, raw binary, head string, leaf string, unit string")
 
 
 def _touching(least: float):
@@ -209,7 +209,7 @@ def similarity_clusters(df: DataFrame, group, item: str, vector: str, least: flo
     classes = materialize(classes, "classes")
     leaves = materialize(bisecting_leaves(classes, math.acos(least) / 2, node), "leaves")
     keys = ["grp", "lo", "hi"]
-    links = spread(tiled(leaves, tile), *keys).groupBy(*keys).applyInPandas(group(_touching(least)), "src string, dst string")
+    links = spread(tiled(leaves, tile), *keys).groupBy(*keys).applyInPandas(grouped(_touching(least)), "src string, dst string")
     components = connected_components(links)
     named = leaves.select("cls", "unit").join(components.withColumnRenamed("node", "unit"), "unit", "left").select("cls", F.coalesce("component", "unit").alias("c"))
     placed = members.join(named, "cls")
@@ -245,7 +245,7 @@ def describe_clusters(clusters: DataFrame, df: DataFrame, item: str, vector: str
     members, classes = vector_classes(df, F.lit(""), item, vector, dim, 1)
     rows = clusters.join(members.select("id", "cls"), "id").join(classes.select("cls", "raw"), "cls").select("grp", "cluster", "size", "id", "raw")
     rows = materialize(rows, "clustered")
-    parts = rows.mapInPandas(batches(_sums), "cluster string, part array<double>")
+    parts = rows.mapInPandas(batched(_sums), "cluster string, part array<double>")
     centres = parts.select("cluster", F.posexplode("part").alias("pos", "x")).groupBy("cluster", "pos").agg(F.sum("x").alias("x")).groupBy("cluster").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("centre")
     )

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from memloom.llm.workers import batches
+from memloom.llm.workers import batched
 from memloom.sources.shared import materialize
 from memloom.sources.small import enough_tasks, join_small
 
@@ -179,7 +179,7 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
     if again.limit(1).count():
         rows = join_small(rows, again, "id", "left_anti").unionByName(join_small(rows, again, "id", "left_semi").dropDuplicates(["id"]))
     rows = enough_tasks(rows, "id")
-    counted = rows.mapInArrow(batches(_places), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
+    counted = rows.mapInArrow(batched(_places), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 1")
     # Bits set by the chunks that occur again; at most FILTER_BITS / 8 bytes come back, in pieces of 64 bits.
     place = F.pmod(F.col("key").cast("decimal(20,0)") + F.when(F.col("key") < 0, F.lit("18446744073709551616").cast("decimal(20,0)")).otherwise(F.lit(0)), F.lit(FILTER_BITS)).cast("int")
     words = counted.select(place.alias("p")).groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, p % 32))").alias("v")).toPandas()
@@ -187,10 +187,10 @@ def encode_corpus(df: DataFrame, item: str, text: str, vocabulary: str = VOCABUL
     table[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
     shared = spark.sparkContext.broadcast(table.view(np.uint8))
     kind = dict(rows.dtypes)["id"]
-    parts = materialize(rows.mapInArrow(batches(_encode(shared, vocabulary)), f"id {kind}, pos int, whole boolean, ids array<int>, key binary, chunk string"), "parts")
+    parts = materialize(rows.mapInArrow(batched(_encode(shared, vocabulary)), f"id {kind}, pos int, whole boolean, ids array<int>, key binary, chunk string"), "parts")
     whole = parts.where("whole").select(F.col("id").alias(item), "ids")
     texts = parts.where("key is not null").select("key", "chunk")
-    once = texts.repartition("key").sortWithinPartitions("key").mapInArrow(batches(_encode_once(vocabulary)), "key binary, shared array<int>")
+    once = texts.repartition("key").sortWithinPartitions("key").mapInArrow(batched(_encode_once(vocabulary)), "key binary, shared array<int>")
     pieces = parts.where("not whole").select("id", "pos", "ids", "key").join(once, "key", "left").select("id", "pos", F.coalesce("ids", "shared").alias("ids"))
     ordered = pieces.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("p"))
     return whole.unionByName(ordered.select(F.col("id").alias(item), F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")))

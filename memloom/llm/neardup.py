@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from memloom.llm.vectors import spread
-from memloom.llm.workers import batches, cogroup
+from memloom.llm.workers import batched, cogrouped
 from memloom.operators.components import connected_components
 from memloom.sources.shared import materialize
 from memloom.sources.small import join_small
@@ -255,13 +255,13 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
     classes = materialize(
         named.groupBy("grp", "cls").agg(F.min("id").alias("head"), F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
-    counted = classes.select("words").mapInArrow(batches(_frequencies), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counted = classes.select("words").mapInArrow(batched(_frequencies), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
     table = np.zeros(GROUPS, np.int64)
     seen = counted.toPandas()  # at most GROUPS rows, whatever the collection
     table[seen["g"].to_numpy()] = seen["n"].to_numpy()
     frequency = spark.sparkContext.broadcast(table)
     routed = materialize(
-        classes.select("grp", "cid", "words").mapInArrow(batches(_route(frequency, t)), "grp string, g int, cid long, size int, place int, point binary"), "routed"
+        classes.select("grp", "cid", "words").mapInArrow(batched(_route(frequency, t)), "grp string, g int, cid long, size int, place int, point binary"), "routed"
     )
     # At most rows / tile subtrees are large enough to be cut.
     often = routed.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > tile).select("g")
@@ -273,14 +273,14 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
         spread(own.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("tiles", "other"), *keys)
         .sortWithinPartitions(*keys, F.expr("own <> lo"), "size", "point")
     )
-    candidates = materialize(subtrees.mapInPandas(batches(_join_subtrees(t)), "grp string, a long, b long"), "candidates")
+    candidates = materialize(subtrees.mapInPandas(batched(_join_subtrees(t)), "grp string, a long, b long"), "candidates")
     large = classes.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
     placed = join_small(candidates, large, "grp").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     ta, tb = F.pmod(F.xxhash64("a"), F.col("tiles")), F.pmod(F.xxhash64("b"), F.col("tiles"))
     pairs = placed.select("grp", F.least(ta, tb).alias("lo"), F.greatest(ta, tb).alias("hi"), "a", "b")
     wanted = pairs.select(F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h"), F.explode(F.array("a", "b")).alias("cid")).distinct()
     rows = wanted.join(classes.select("cid", "head", "words"), "cid")
-    links = pairs.groupBy("grp", "lo", "hi").cogroup(rows.groupBy("g", "l", "h")).applyInPandas(cogroup(_verify(t)), "src string, dst string")
+    links = pairs.groupBy("grp", "lo", "hi").cogroup(rows.groupBy("g", "l", "h")).applyInPandas(cogrouped(_verify(t)), "src string, dst string")
     components = connected_components(links)
     cluster = classes.select("cls", F.col("head").alias("node")).join(components, "node", "left").select("cls", F.coalesce("component", "node").alias("cluster"))
     told = members.join(cluster, "cls")

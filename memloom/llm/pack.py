@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from memloom.llm.workers import group
+from memloom.llm.workers import grouped
 from memloom.sources.shared import materialize
 
 SHARD = 50_000  # documents packed by one task
@@ -92,9 +92,9 @@ def pack(sized: DataFrame, budgets: DataFrame, item: str, shard_rows: int = SHAR
     )
     kind = dict(docs.dtypes)["id"]
     schema = f"budget_id {dict(plans.dtypes)['budget_id']}, capacity long, id {kind}, piece long, start long, n_tokens long, shard long, container string, fill long"
-    first = materialize(rest.repartition("budget_id", "shard").groupBy("budget_id", "shard").applyInPandas(group(_pack(1)), schema), "packed")
+    first = materialize(rest.repartition("budget_id", "shard").groupBy("budget_id", "shard").applyInPandas(grouped(_pack(1)), schema), "packed")
     loose = first.where(F.col("fill") < FULL * F.col("capacity")).drop("container", "fill").withColumn("shard", F.floor(F.col("shard") / AGAIN).cast("long"))
-    second = loose.groupBy("budget_id", "shard").applyInPandas(group(_pack(2)), schema)
+    second = loose.groupBy("budget_id", "shard").applyInPandas(grouped(_pack(2)), schema)
     columns = ["budget_id", "capacity", "container", "id", "piece", "start", "n_tokens"]
     packed = first.where(F.col("fill") >= FULL * F.col("capacity")).select(columns).unionByName(second.select(columns)).unionByName(full.select(columns))
     return packed.withColumnRenamed("id", item)

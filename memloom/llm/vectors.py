@@ -17,7 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from memloom.llm.workers import batches, cogroup, group
+from memloom.llm.workers import batched, cogrouped, grouped
 from memloom.sources.shared import materialize
 from memloom.sources.small import enough_tasks, join_small
 
@@ -54,7 +54,7 @@ def vector_classes(df: DataFrame, group, item: str, vector: str, dim: int = 64,
     smallest ids of its copies and the smallest of all.
     """
     rows = df.select(F.expr(group).cast("string").alias("grp") if isinstance(group, str) else group.alias("grp"), F.col(item).alias("id"), F.col(vector).alias("vec"))
-    parsed = enough_tasks(rows.where("grp is not null and id is not null and vec is not null"), "id").mapInArrow(batches(_usable(dim)), "grp string, id string, raw binary")
+    parsed = enough_tasks(rows.where("grp is not null and id is not null and vec is not null"), "id").mapInArrow(batched(_usable(dim)), "grp string, id string, raw binary")
     coded = parsed.withColumn("cls", F.unhex(F.md5(F.concat(F.col("raw"), F.encode("grp", "utf-8")))))
     members = coded.select("grp", "id", "cls").distinct()
     # The rank limit is applied before the shuffle too, so a vector with millions of copies sends a few rows per task.
@@ -193,15 +193,15 @@ def most_similar(df: DataFrame, group: str, item: str, vector: str, k: int = 5,
     """
     members, classes = vector_classes(df, group, item, vector, dim, k + 1)
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
-    coded = classes.select("grp", "cid", "raw").mapInPandas(batches(_quantise), "grp string, cid long, q binary, step double, err double")
+    coded = classes.select("grp", "cid", "raw").mapInPandas(batched(_quantise), "grp string, cid long, q binary, step double, err double")
     keys = ["grp", "lo", "hi"]
     candidates = materialize(
-        spread(tiled(coded, tile, "cid"), *keys).groupBy(*keys).applyInPandas(group(_tile_candidates(k, least)), "grp string, lo int, hi int, a long, partners array<long>"), "candidates"
+        spread(tiled(coded, tile, "cid"), *keys).groupBy(*keys).applyInPandas(grouped(_tile_candidates(k, least)), "grp string, lo int, hi int, a long, partners array<long>"), "candidates"
     )
     named = [F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h")]
     wanted = candidates.select(*named, F.explode(F.concat(F.array("a"), "partners")).alias("cid")).distinct()
     vectors = wanted.join(classes.select("cid", "raw", "head"), "cid")
-    offers = candidates.groupBy(*keys).cogroup(vectors.groupBy("g", "l", "h")).applyInPandas(cogroup(_exact(k, least)), "cid long, to long, sim double")
+    offers = candidates.groupBy(*keys).cogroup(vectors.groupBy("g", "l", "h")).applyInPandas(cogrouped(_exact(k, least)), "cid long, to long, sim double")
     heads = classes.select("cid", "ids", "head", F.lit(1.0).alias("sim"))
     offered = offers.join(heads.select(F.col("cid").alias("to"), "ids", "head"), "to")
     best = offered.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "head"))).where(F.col("r") <= k).select("cid", "sim", "ids")

@@ -16,7 +16,7 @@ def release() -> None:
         pass
 
 
-def batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def batched(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A step over batches that releases at its end."""
 
     def step(it: Iterator) -> Iterator:
@@ -26,7 +26,7 @@ def batches(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
     return step
 
 
-def group(run: Callable) -> Callable:
+def grouped(run: Callable) -> Callable:
     """A step over a group that releases at its end."""
 
     def step(pdf):
@@ -37,7 +37,7 @@ def group(run: Callable) -> Callable:
     return step
 
 
-def cogroup(run: Callable) -> Callable:
+def cogrouped(run: Callable) -> Callable:
     """A step over a pair of groups that releases at its end."""
 
     def step(key, left, right):
