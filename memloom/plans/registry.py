@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.plans import base, code, graph, learning, memory, retrieval, stats, streams, text, transfer  # noqa: F401
+from memloom.plans import base, code, extras, graph, learning, memory, retrieval, stats, streams, text, transfer  # noqa: F401
 
 
 def flagship(spark, sf_dir):
