@@ -153,7 +153,7 @@ def _touching(least: float):
         pdf = pdf.sort_values(["leaf", "unit"])
         a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"src": [], "dst": []})
+            return pd.DataFrame({"src": [], "dst": []}, dtype=object)
         ua, ub = _units(a["raw"]), _units(b["raw"])
         fa, fb = ua.astype(np.float32), ub.astype(np.float32)
         names = pd.unique(pdf["unit"])

@@ -40,7 +40,7 @@ def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     old = total.get((i, j))
                     total[i, j] = part.astype(np.int64) if old is None else old + part.astype(np.int64)
 
-    rest = pd.DataFrame({"basket": [], "item": []})
+    rest = pd.DataFrame({"basket": [], "item": []}, dtype=object)
     for pdf in batches:
         rest = pd.concat([rest, pdf], ignore_index=True) if len(rest) else pdf
         code = (rest["basket"] != rest["basket"].shift()).cumsum().to_numpy() - 1

@@ -151,7 +151,7 @@ def _join_subtrees(t: Fraction):
                     a_out.append(ra[good])
                     b_out.append(rb[good])
         if not a_out:
-            return pd.DataFrame({"grp": [], "a": [], "b": []})
+            return pd.DataFrame({"grp": [], "a": [], "b": []}, dtype=object)
         ra, rb = np.concatenate(a_out), np.concatenate(b_out)
         cid, grp = pdf["cid"].to_numpy(), pdf["grp"].to_numpy()
         return pd.DataFrame({"grp": grp[ra], "a": np.minimum(cid[ra], cid[rb]), "b": np.maximum(cid[ra], cid[rb])}).drop_duplicates()
@@ -191,7 +191,7 @@ def _join_subtrees(t: Fraction):
 def _verify(t: Fraction):
     def run(key, pairs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
-            return pd.DataFrame({"src": [], "dst": []})
+            return pd.DataFrame({"src": [], "dst": []}, dtype=object)
         pairs = pairs[["a", "b"]].drop_duplicates().sort_values("a")
         cids = rows["cid"].to_numpy()
         order = np.argsort(cids)

@@ -110,7 +110,7 @@ def _tile_candidates(k: int, least: float):
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
         if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": pd.Series([], dtype=object)})
+            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": pd.Series([], dtype=object)}, dtype=object)
 
         def parts(p):
             # Products of int8 numbers of 64 dimensions stay below 2^24, so float32 multiplies them exactly.
@@ -157,7 +157,7 @@ def _tile_candidates(k: int, least: float):
 def _exact(k: int, least: float):
     def run(key, pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(pairs):
-            return pd.DataFrame({"cid": [], "to": [], "sim": []})
+            return pd.DataFrame({"cid": [], "to": [], "sim": []}, dtype=object)
         order = np.argsort(vectors["cid"].to_numpy())
         cid, head = vectors["cid"].to_numpy()[order], vectors["head"].to_numpy()[order]
         x = np.frombuffer(b"".join(vectors["raw"].to_numpy()[order]), np.float32).reshape(len(cid), -1).astype(np.float64)

@@ -96,3 +96,9 @@ def test_needed_is_the_least_overlap():
 def test_of_nothing(spark):
     found = near_duplicates(spark.createDataFrame([], "grp string, id string, text string"), "grp", "id", "text")
     assert found.count() == 0 and pairs_within(found).count() == 0
+
+
+def test_meeting_in_one_group_is_not_enough(spark):
+    rows = [("s", "a", "one b c d e f g h"), ("s", "b", "one i j k l m n o"), ("s", "c", "p q r s t u v w")]
+    df = spark.createDataFrame(rows, "grp string, id string, text string")
+    assert {r["size"] for r in near_duplicates(df, "grp", "id", "text").collect()} == {1}
