@@ -49,54 +49,135 @@ def triangles(edges: DataFrame) -> DataFrame:
     return three.select(F.col("t")[0].alias("a"), F.col("t")[1].alias("b"), F.col("t")[2].alias("c"))
 
 
+def _tiles(vectors: DataFrame, tile: int) -> tuple[DataFrame, list[str]]:
+    """Rows of (grp, id, vec, ...) once for each pair of tiles of their group; groups up to ``tile`` rows are one tile."""
+    large = vectors.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
+    own = join_small(vectors, large, "grp").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
+    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
+    keys = ["grp", "lo", "hi"]
+    return both.drop("tiles", "other").repartition(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys), keys
+
+
+def _blocks(pdf: pd.DataFrame, least: float):
+    """(rows of side lo, rows of side hi, products) in blocks of rows; products below ``least`` and doubled ones are -2."""
+    lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
+    pdf = pdf.sort_values("id")
+    a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
+    if not len(a) or not len(b):
+        return
+    unit = lambda p: (lambda x: x / np.sqrt((x * x).sum(1))[:, None])(np.stack(p["vec"].to_numpy()).astype(np.float64))
+    ua, ub = unit(a), unit(b)
+    for i in range(0, len(ua), 512):
+        s = np.round(ua[i : i + 512] @ ub.T + 1e-9, 6)
+        if lo == hi:
+            s[np.arange(s.shape[1])[None, :] <= np.arange(i, i + len(s))[:, None]] = -2
+        s[s < least] = -2
+        yield a.iloc[i : i + 512], b, s
+
+
 def similar_pairs(vectors: DataFrame, least: float, tile: int = TILE) -> DataFrame:
     """``(grp, a, b, sim)`` with a < b of one group at a cosine of ``least`` or more (six decimals).
 
     ``vectors`` is (grp, id, vec), of one length.  Groups of more than ``tile``
     rows are cut into tiles, joined in pairs by different tasks; the result holds
-    every such pair, so its size is the number of links asked for.
+    every such pair, so it is for limits that few pairs reach.
     """
-    large = vectors.groupBy("grp").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")).where("tiles > 1")
-    own = join_small(vectors, large, "grp").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("own", F.pmod(F.xxhash64("id"), "tiles").cast("int"))
-    both = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
-        pdf = pdf.sort_values("id")
-        a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "a": [], "b": [], "sim": []})
-        unit = lambda p: (lambda x: x / np.sqrt((x * x).sum(1))[:, None])(np.stack(p["vec"].to_numpy()).astype(np.float64))
-        ua, ub, na, nb = unit(a), unit(b), a["id"].to_numpy(), b["id"].to_numpy()
-        out = []
-        for i in range(0, len(ua), 512):
-            s = np.round(ua[i : i + 512] @ ub.T + 1e-9, 6)
-            r, c = np.nonzero(s >= least)
-            keep = (r + i < c) if lo == hi else np.ones(len(r), bool)
-            r, c = r[keep], c[keep]
-            x, y = na[r + i], nb[c]
+        out = [pd.DataFrame({"grp": [], "a": [], "b": [], "sim": []}, dtype=object)]
+        for a, b, s in _blocks(pdf, least):
+            r, c = np.nonzero(s > -2)
+            x, y = a["id"].to_numpy()[r], b["id"].to_numpy()[c]
             out.append(pd.DataFrame({"grp": pdf["grp"].iloc[0], "a": np.where(x < y, x, y), "b": np.where(x < y, y, x), "sim": s[r, c]}))
-        return pd.concat(out, ignore_index=True)
+        return pd.concat([x for x in out if len(x)] or out[:1], ignore_index=True)
+
+    spread, keys = _tiles(vectors.select("grp", "id", "vec"), tile)
+    return spread.groupBy(*keys).applyInPandas(run, f"grp {dict(vectors.dtypes)['grp']}, a string, b string, sim double")
 
-    keys = ["grp", "lo", "hi"]
-    kind = dict(vectors.dtypes)["grp"]
-    spread = both.select(*keys, "own", "id", "vec").repartition(4 * int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
-    return spread.groupBy(*keys).applyInPandas(run, f"grp {kind}, a string, b string, sim double")
 
+def nearest(vectors: DataFrame, k: int, least: float, tile: int = TILE) -> DataFrame:
+    """``(id, other, sim, rank)``: the ``k`` nearest others of the group at ``least`` or more, ties by id.
 
-def dbscan(vectors: DataFrame, eps: float = 0.1, min_samples: int = 3) -> DataFrame:
+    A pair of tiles passes on ``k`` rows per vector at most, however dense the group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        best: dict = {}
+        for a, b, s in _blocks(pdf, least):
+            ia, ib = a["id"].to_numpy(), b["id"].to_numpy()
+            for own, other, m in ((ia, ib, s), (ib, ia, s.T)):
+                # Ids are in order, so a stable sort breaks ties by id.
+                top = np.argsort(-m, axis=1, kind="stable")[:, :k]
+                sim = np.take_along_axis(m, top, 1)
+                for n in np.flatnonzero(sim[:, 0] > -2):
+                    rows = best.setdefault(own[n], [])
+                    rows += [(-v, other[t]) for v, t in zip(sim[n], top[n]) if v > -2]
+                    if len(rows) > 8 * k:
+                        best[own[n]] = sorted(rows)[:k]
+        rows = [(i, o, -v) for i, x in best.items() for v, o in sorted(x)[:k]]
+        return pd.DataFrame(rows, columns=["id", "other", "sim"])
+
+    spread, keys = _tiles(vectors.select("grp", "id", "vec"), tile)
+    offers = spread.groupBy(*keys).applyInPandas(run, "id string, other string, sim double")
+    return offers.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "other"))).where(F.col("rank") <= k)
+
+
+def dbscan(vectors: DataFrame, eps: float = 0.1, min_samples: int = 3, tile: int = TILE) -> DataFrame:
     """``(grp, id, cluster)``: density clusters by cosine distance, named by their smallest core point; noise is null.
 
     A point is core with ``min_samples`` *other* points within ``eps``; border
-    points join the neighbouring cluster of smallest name.
+    points join the neighbouring cluster of smallest name.  Two passes over the
+    tiles, one that counts neighbours and one that ties core points: each passes
+    on a row per point and tile pair, never a row per neighbour.
     """
-    pairs = materialize(similar_pairs(vectors, round(1 - eps, 9)), "eps")
-    both = pairs.select("grp", "a", "b").unionByName(pairs.select("grp", F.col("b").alias("a"), F.col("a").alias("b")))
-    core = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id"))
+    least = round(1 - eps, 9)
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        total: dict = {}
+        for a, b, s in _blocks(pdf, least):
+            near = s > -2
+            for ids, n in ((a["id"], near.sum(1)), (b["id"], near.sum(0))):
+                for i, k in zip(ids.to_numpy()[n > 0], n[n > 0]):
+                    total[i] = total.get(i, 0) + int(k)
+        return pd.DataFrame({"id": list(total), "n": list(total.values())}, dtype=None if total else object)
+
+    def tie(pdf: pd.DataFrame) -> pd.DataFrame:
+        parent: dict = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        touched: dict = {}
+        for a, b, s in _blocks(pdf, least):
+            ia, ib, ca, cb = a["id"].to_numpy(), b["id"].to_numpy(), a["core"].to_numpy(), b["core"].to_numpy()
+            near = s > -2
+            for n in np.flatnonzero(near.any(1)):
+                at = np.flatnonzero(near[n])
+                cores = ib[at[cb[at]]]
+                if ca[n]:
+                    for other in cores:
+                        x, y = find(ia[n]), find(other)
+                        if x != y:
+                            parent[max(x, y)] = min(x, y)
+                    for other in ib[at[~cb[at]]]:
+                        touched.setdefault(other, set()).add(ia[n])
+                elif len(cores):
+                    touched.setdefault(ia[n], set()).update(cores)
+            # A border point needs one core point of each cluster beside it.
+            touched = {p: {find(x) for x in c} for p, c in touched.items()}
+        rows = [(x, find(x), True) for x in parent if find(x) != x] + [(p, c, False) for p, cs in touched.items() for c in {find(x) for x in cs}]
+        return pd.DataFrame(rows, columns=["src", "dst", "inner"])
+
+    spread, keys = _tiles(vectors.select("grp", "id", "vec"), tile)
+    core = spread.groupBy(*keys).applyInPandas(count, "id string, n long").groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_samples).select("id")
     core = materialize(core, "core")
-    inner = pairs.join(core.withColumnRenamed("id", "a"), "a", "left_semi").join(core.withColumnRenamed("id", "b"), "b", "left_semi")
-    named = core.join(connected_components(inner, "a", "b").withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
-    border = both.join(core.withColumnRenamed("id", "a"), "a", "left_anti").join(named.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("cluster").alias("cluster"))
+    marked, keys = _tiles(vectors.select("grp", "id", "vec").join(core.withColumn("core", F.lit(True)), "id", "left").fillna({"core": False}), tile)
+    ties = materialize(marked.groupBy(*keys).applyInPandas(tie, "src string, dst string, inner boolean"), "ties")
+    named = core.join(connected_components(ties.where("inner")).withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("cluster"))
+    border = ties.where("not inner").join(named.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("cluster").alias("cluster"))
     return vectors.select("grp", "id").join(named.unionByName(border), "id", "left").select("grp", "id", "cluster")
 
 

@@ -140,10 +140,8 @@ select a as src, b as dst, sim as dim_semantic, 0.5::double as weight from (sele
 )
 def associate_on_ingest(spark, d):
     """Each observation is linked to its five nearest at 0.7 or more."""
-    p = G.similar_pairs(vectors(spark, d).withColumnRenamed("space_id", "grp"), 0.7)
-    both = p.select("a", "b", "sim").unionByName(p.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    top = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("sim"), "b"))).where("r <= 5")
-    return top.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("sim").alias("dim_semantic"), F.lit(0.5).alias("weight"))
+    top = G.nearest(vectors(spark, d).withColumnRenamed("space_id", "grp"), 5, 0.7)
+    return top.select(F.col("id").alias("src"), F.col("other").alias("dst"), F.col("sim").alias("dim_semantic"), F.lit(0.5).alias("weight"))
 
 
 @query(

@@ -45,7 +45,7 @@ def bm25_topk(spark, d):
 
 
 FUSE = f"""{RESULTS},
-vl as (select *, row_number() over (partition by query_id order by round(vector_sim, 9) desc, node_id) vr from res where vector_sim is not null),
+vl as (select * from (select *, row_number() over (partition by query_id order by round(vector_sim, 9) desc, node_id) vr from res where vector_sim is not null) where vr <= 200),
 tl as (select query_id, node_id, s, row_number() over (partition by query_id order by s desc, node_id) tr from (select query_id, node_id, max(score) s from bm25_results where score is not null and not isnan(score) and node_id is not null group by 1, 2)),
 tk as (select * from tl where tr <= 100),
 fz as (select coalesce(vl.query_id, tk.query_id) query_id, coalesce(vl.node_id, tk.node_id) node_id, vl.vector_sim, vr, tr,
@@ -55,9 +55,12 @@ fu as (select *, case when vr is not null and tr is not null then least(1.0, vec
 
 
 def fused(spark, d):
-    """Every candidate of every query with both ranks, the fused rank and the similarity it counts as."""
+    """The 200 vector and 100 text candidates of every query with both ranks, the fused rank and the similarity each counts as.
+
+    Both limits are applied before the shuffle too, so a query with very many results sends a few hundred rows a task.
+    """
     w = Window.partitionBy("query_id")
-    v = T.results(spark, d).where("vector_sim is not null").withColumn("vr", F.row_number().over(w.orderBy(F.round("vector_sim", 9).desc(), "node_id"))).select("query_id", "node_id", "vector_sim", "vr")
+    v = T.results(spark, d).where("vector_sim is not null").withColumn("vr", F.row_number().over(w.orderBy(F.round("vector_sim", 9).desc(), "node_id"))).where("vr <= 200").select("query_id", "node_id", "vector_sim", "vr")
     t = T.table(spark, d, "bm25_results").where("score is not null and not isnan(score) and node_id is not null").groupBy("query_id", "node_id").agg(F.max("score").alias("s"))
     t = t.withColumn("tr", F.row_number().over(w.orderBy(F.desc("s"), "node_id"))).where("tr <= 100").select("query_id", "node_id", "tr")
     both = v.join(t, ["query_id", "node_id"], "full_outer")

@@ -143,7 +143,19 @@ def test_dbscan(spark, seed, eps, least):
     rng = np.random.default_rng(seed)
     points = [(f"o{i:03d}", (np.eye(6)[i % 6] + rng.normal(size=6) * 0.25).tolist()) for i in range(90)]
     df = spark.createDataFrame([("g", i, v) for i, v in points], "grp string, id string, vec array<double>")
-    assert {r["id"]: r["cluster"] for r in G.dbscan(df, eps, least).collect()} == brute_dbscan(points, eps, least)
+    for tile in (8192, 20):
+        assert {r["id"]: r["cluster"] for r in G.dbscan(df, eps, least, tile).collect()} == brute_dbscan(points, eps, least)
+
+
+def test_nearest_tiles_agree(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([("g", f"o{i:03d}", (np.eye(3)[i % 3] + rng.normal(size=3) * 0.1).tolist()) for i in range(60)] + [("g", f"c{i}", [1.0, 1.0, 1.0]) for i in range(6)], "grp string, id string, vec array<double>")
+    whole = {tuple(r) for r in G.nearest(df, 3, 0.9).collect()}
+    assert {tuple(r) for r in G.nearest(df, 3, 0.9, tile=7).collect()} == whole
+    pairs = {(r["a"], r["b"]): r["sim"] for r in G.similar_pairs(df, 0.9).collect()}
+    ids = [r["id"] for r in df.collect()]
+    want = {(a, b, -s, n) for a in ids for n, (s, b) in enumerate(sorted((-pairs[min(a, b), max(a, b)], b) for b in ids if (min(a, b), max(a, b)) in pairs)[:3], 1)}
+    assert whole == want
 
 
 def test_dbscan_goldens(spark):
