@@ -22,10 +22,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     instead of returning partial labels.
     """
     spark = edges.sparkSession
-    pair = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null")
-    both = materialize(
-        pair.where("a <> b").unionByName(pair.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges"
-    )
+    # The edges are read several times; they are worked out once.
+    pair = materialize(edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where("a is not null and b is not null"), "pairs")
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = materialize(pair.where("a <> b").select(F.explode(ways).alias("e")).select("e.a", "e.b").distinct(), "edges")
     loops = pair.where("a = b").select(F.col("a").alias("node"))
     labels = materialize(
         both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "labels"
