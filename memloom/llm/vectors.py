@@ -24,6 +24,8 @@ from memloom.sources.small import enough_tasks, join_small
 TILE = 16384
 BLOCK = 512
 ROUNDING = 1e-6
+DENSE = 64  # candidates of a vector in a pair of tiles, beyond which they aren't listed
+NONE = np.zeros(0, np.int64)
 
 
 def _usable(dim: int):
@@ -94,115 +96,134 @@ def _quantise(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"grp": pdf["grp"], "cid": pdf["cid"], "q": [r.tobytes() for r in q8], "step": step, "err": err})
 
 
-def _kth(rows: np.ndarray, lower: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The k-th largest lower bound of each row, -inf where it has fewer."""
-    order = np.lexsort((-lower, rows))
-    r = rows[order]
-    start = np.searchsorted(r, np.arange(n))
-    out = np.full(n, -np.inf)
-    have = np.bincount(r, minlength=n) >= k
-    out[have] = lower[order][start[have] + k - 1]
-    return out
-
-
-def _tile_candidates(k: int, least: float):
+def _tile_candidates(k: int, least: float, dense: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"grp": [], "lo": [], "hi": [], "a": [], "partners": pd.Series([], dtype=object)}, dtype=object)
-
-        def parts(p):
+        sides = []
+        for tile in dict.fromkeys((lo, hi)):
+            p = pdf[pdf["own"] == tile]
             # Products of int8 numbers of 64 dimensions stay below 2^24, so float32 multiplies them exactly.
-            q = np.frombuffer(b"".join(p["q"]), np.int8).reshape(len(p), -1).astype(np.float32)
-            step, err = p["step"].to_numpy(), p["err"].to_numpy()
-            return q, step, err
-
-        qa, sa, ea = parts(a)
-        qb, sb, eb = (qa, sa, ea) if lo == hi else parts(b)
-        # |u.w - u'.w'| <= |e||w'| + |u'||f| + |e||f|, and |u'| <= 1 + |e|.
-        slack = (ea.max() + eb.max()) * 1.1 + ROUNDING
-        floor = least - slack
-        flat_a, flat_b, sim = [], [], []
-        fb = (sb).astype(np.float32)
-        for i in range(0, len(qa), BLOCK):
-            s = (qa[i : i + BLOCK] @ qb.T) * fb
-            s *= sa[i : i + BLOCK, None].astype(np.float32)
-            r, c = np.nonzero(s >= floor - 1e-5)
-            keep = (r + i < c) if lo == hi else slice(None)
-            r, c = r[keep], c[keep]
-            flat_a.append(r + i)
-            flat_b.append(c)
-            sim.append(s[r, c].astype(np.float64))
-        ra, rb, s = np.concatenate(flat_a), np.concatenate(flat_b), np.concatenate(sim)
-        eps = ea[ra] * (1 + eb[rb]) + eb[rb] * (1 + ea[ra]) + ea[ra] * eb[rb] + 1e-5
-        near = s + eps >= least - ROUNDING
-        ra, rb, s, eps = ra[near], rb[near], s[near], eps[near]
-        if lo == hi:
-            best = _kth(np.concatenate([ra, rb]), np.concatenate([s - eps] * 2), len(qa), k)
-            wanted = (s + eps + ROUNDING >= best[ra]) | (s + eps + ROUNDING >= best[rb])
-        else:
-            wanted = (s + eps + ROUNDING >= _kth(ra, s - eps, len(qa), k)[ra]) | (s + eps + ROUNDING >= _kth(rb, s - eps, len(qb), k)[rb])
-        ra, rb = ra[wanted], rb[wanted]
-        # One row per left vector with all its partners: the pairs are most of what is moved.
-        ca, cb = a["cid"].to_numpy(), b["cid"].to_numpy()
-        order = np.argsort(ra, kind="stable")
-        ra, rb = ra[order], rb[order]
-        first = np.flatnonzero(np.r_[True, ra[1:] != ra[:-1]]) if len(ra) else ra
-        return pd.DataFrame({"grp": pdf["grp"].iloc[0], "lo": lo, "hi": hi, "a": ca[ra[first]], "partners": pd.Series(np.split(cb[rb], first[1:])[: len(first)], dtype=object)})
+            q = np.frombuffer(b"".join(p["q"]), np.int8).reshape(len(p), -1).astype(np.float32) if len(p) else np.zeros((0, 1), np.float32)
+            sides.append((q, p["step"].to_numpy(np.float64), p["err"].to_numpy(np.float64), p["cid"].to_numpy()))
+        rows, partners = [], []
+        for x, y in [(0, 0)] if lo == hi else [(0, 1), (1, 0)]:
+            (qx, sx, ex, cx), (qy, sy, ey, cy) = sides[x], sides[y]
+            if not len(qx) or not len(qy):
+                continue
+            # |u.w - u'.w'| <= |e||w'| + |u'||f| + |e||f|, and |u'| <= 1 + |e|; 1e-5 is float32's part.
+            f = float(ey.max())
+            eps = (ex * (1 + f) + f * (1 + ex) + ex * f + 1e-5).astype(np.float32)
+            wide = np.zeros(len(qy), bool)
+            for i in range(0, len(qx), BLOCK):
+                on = slice(i, i + BLOCK)
+                s = (qx[on] @ qy.T) * sy.astype(np.float32)
+                s *= sx[on, None].astype(np.float32)
+                if x == y:
+                    s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
+                near = s >= (least - ROUNDING - eps[on])[:, None]
+                many = np.flatnonzero(near.sum(1) > k)
+                if len(many):
+                    # What cannot reach the k-th best even at the ends of both error bounds.
+                    kth = np.partition(s[many], s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                    near[many] &= s[many] >= (kth - 2 * eps[on][many] - 2 * ROUNDING)[:, None]
+                n = near.sum(1)
+                crowd = np.flatnonzero(n > dense)
+                if len(crowd):
+                    # Too alike for the bounds: these rows are compared with all such columns in double precision.
+                    wide |= near[crowd].any(0)
+                    rows += cx[on][crowd].tolist()
+                    partners += [NONE] * len(crowd)
+                    near[crowd] = False
+                    n[crowd] = 0
+                r, c = np.nonzero(near)
+                has = np.flatnonzero(n)
+                rows += cx[on][has].tolist()
+                partners += np.split(cy[c], np.cumsum(n[has])[:-1]) if len(has) else []
+            if wide.any():
+                rows.append(-1)  # no class: it only names the vectors that the rows above need
+                partners.append(cy[wide])
+        out = pd.DataFrame({"a": np.array(rows, np.int64), "partners": pd.Series(partners, dtype=object)})
+        return out.assign(grp=pdf["grp"].iloc[0], lo=lo, hi=hi)[["grp", "lo", "hi", "a", "partners"]]
 
     return run
 
 
+def _best(own: np.ndarray, to: np.ndarray, sim: np.ndarray, rank: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k best of each ``own``, ties by ``rank``."""
+    order = np.lexsort((rank[to], -sim, own))
+    o = own[order]
+    return order[np.arange(len(o)) - np.searchsorted(o, o) < k]
+
+
 def _exact(k: int, least: float):
     def run(key, pairs: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
-        if not len(pairs):
+        if not len(pairs) or not len(vectors):
             return pd.DataFrame({"cid": [], "to": [], "sim": []}, dtype=object)
         order = np.argsort(vectors["cid"].to_numpy())
         cid, head = vectors["cid"].to_numpy()[order], vectors["head"].to_numpy()[order]
         x = np.frombuffer(b"".join(vectors["raw"].to_numpy()[order]), np.float32).reshape(len(cid), -1).astype(np.float64)
         norm = np.sqrt((x * x).sum(1))
-        sizes = pairs["partners"].map(len).to_numpy()
-        ia = np.searchsorted(cid, np.repeat(pairs["a"].to_numpy(), sizes))
-        ib = np.searchsorted(cid, np.concatenate(pairs["partners"].to_numpy()))
-        sim = np.empty(len(ia))
-        for i in range(0, len(ia), 65536):
-            j, m = ia[i : i + 65536], ib[i : i + 65536]
-            sim[i : i + 65536] = np.einsum("ij,ij->i", x[j], x[m]) / (norm[j] * norm[m])
-        sim = np.round(sim, 6)
-        # The k best of this pair of tiles, for the rows of either side.
-        near = sim >= least
-        own, to, sim = np.r_[ia[near], ib[near]], np.r_[ib[near], ia[near]], np.r_[sim[near], sim[near]]
         rank = np.argsort(np.argsort(head))
-        order = np.lexsort((rank[to], -sim, own))
-        own, to, sim = own[order], to[order], sim[order]
-        start = np.searchsorted(own, own)
-        best = np.arange(len(own)) - start < k
+        pairs = pairs[pairs["a"] >= 0]
+        sizes = pairs["partners"].map(len).to_numpy(np.int64)
+        own, to, sim = [], [], []
+        few = pairs[sizes > 0]
+        if len(few):
+            ia = np.searchsorted(cid, np.repeat(few["a"].to_numpy(), sizes[sizes > 0]))
+            ib = np.searchsorted(cid, np.concatenate(few["partners"].to_numpy()))
+            for i in range(0, len(ia), 65536):
+                j, m = ia[i : i + 65536], ib[i : i + 65536]
+                s = np.round(np.einsum("ij,ij->i", x[j], x[m]) / (norm[j] * norm[m]), 6)
+                own.append(j[s >= least])
+                to.append(m[s >= least])
+                sim.append(s[s >= least])
+        crowd = np.searchsorted(cid, pairs["a"].to_numpy()[sizes == 0])
+        for i in range(0, len(crowd), 256):
+            j = crowd[i : i + 256]
+            s = np.round((x[j] @ x.T) / (norm[j][:, None] * norm), 6)
+            s[np.arange(len(j)), j] = -2
+            if s.shape[1] > k:
+                kth = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+                s[s < kth[:, None]] = -2
+            r, c = np.nonzero(s >= least)
+            best = _best(r, c, s[r, c], rank, k)
+            own.append(j[r[best]])
+            to.append(c[best])
+            sim.append(s[r[best], c[best]])
+        if not own:
+            return pd.DataFrame({"cid": [], "to": [], "sim": []}, dtype=object)
+        own, to, sim = np.concatenate(own), np.concatenate(to), np.concatenate(sim)
+        best = _best(own, to, sim, rank, k)
         return pd.DataFrame({"cid": cid[own[best]], "to": cid[to[best]], "sim": sim[best]})
 
     return run
 
 
-def most_similar(df: DataFrame, group: str, item: str, vector: str, k: int = 5, least: float = 0.8, dim: int = 64, tile: int = TILE) -> DataFrame:
+def most_similar(df: DataFrame, group: str, item: str, vector: str, k: int = 5, least: float = 0.8, dim: int = 64, tile: int = TILE, dense: int = DENSE) -> DataFrame:
     """``(grp, id, similar, sim, rank)``: the ``k`` most similar others of each vector's group, if at least ``least``.
 
     Similarity is the cosine in double precision, rounded to six decimals; ties
     go to the smaller id.  Vectors of another length, all zero, null or with
     null or infinite numbers take no part; repeated ids count once.  The result
     is exact: the int8 products only discard pairs their error bounds rule out.
+    Where more than ``dense`` others of a vector lie within the bounds of its k
+    best, they are not listed but compared in double precision by the block, so
+    a crowd of near-equal vectors costs products, not rows.
     """
     members, classes = vector_classes(df, group, item, vector, dim, k + 1)
     classes = materialize(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
     coded = classes.select("grp", "cid", "raw").mapInPandas(batched(_quantise), "grp string, cid long, q binary, step double, err double")
     keys = ["grp", "lo", "hi"]
     candidates = materialize(
-        spread(tiled(coded, tile, "cid"), *keys).groupBy(*keys).applyInPandas(grouped(_tile_candidates(k, least)), "grp string, lo int, hi int, a long, partners array<long>"), "candidates"
+        spread(tiled(coded, tile, "cid"), *keys).groupBy(*keys).applyInPandas(grouped(_tile_candidates(k, least, dense)), "grp string, lo int, hi int, a long, partners array<long>"), "candidates"
     )
     named = [F.col("grp").alias("g"), F.col("lo").alias("l"), F.col("hi").alias("h")]
     wanted = candidates.select(*named, F.explode(F.concat(F.array("a"), "partners")).alias("cid")).distinct()
     vectors = wanted.join(classes.select("cid", "raw", "head"), "cid")
     offers = candidates.groupBy(*keys).cogroup(vectors.groupBy("g", "l", "h")).applyInPandas(cogrouped(_exact(k, least)), "cid long, to long, sim double")
     heads = classes.select("cid", "ids", "head", F.lit(1.0).alias("sim"))
+    # A crowded vector is compared with all vectors at hand, so another pair of tiles may offer the same.
+    offers = offers.groupBy("cid", "to").agg(F.max("sim").alias("sim"))
     offered = offers.join(heads.select(F.col("cid").alias("to"), "ids", "head"), "to")
     best = offered.withColumn("r", F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("sim"), "head"))).where(F.col("r") <= k).select("cid", "sim", "ids")
     # A class offers its smallest ids to its own members as well.

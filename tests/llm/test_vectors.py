@@ -50,8 +50,8 @@ def test_most_similar_matches_brute_force_for_any_tile_size(spark):
         near = sorted((-s[min(a, b), max(a, b)], b) for b in u if b != a and u[b][0] == u[a][0])[:5]
         want |= {(a, b, -k) for k, b in near if -k >= 0.8}
     df = spark.createDataFrame(rows, SCHEMA)
-    for tile in (7, 64, 16384):
-        got = {(r["id"], r["similar"], r["sim"]) for r in most_similar(df, "grp", "obs", "vec", 5, 0.8, 16, tile).collect()}
+    for tile, dense in ((7, 64), (64, 3), (16384, 64), (16384, 2)):
+        got = {(r["id"], r["similar"], r["sim"]) for r in most_similar(df, "grp", "obs", "vec", 5, 0.8, 16, tile, dense).collect()}
         assert got == want
 
 
