@@ -250,7 +250,8 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
         "grp", "id", F.array_sort(F.transform(F.array_distinct("w"), lambda x: F.xxhash64(x))).alias("words")
     )
     named = sets.withColumn("cls", F.unhex(F.md5(F.concat(F.encode("grp", "utf-8"), F.encode(F.to_json("words"), "utf-8")))))
-    members = named.select("grp", "id", "cls").distinct()
+    # Read three times below; short rows beside the texts they stand for.
+    members = materialize(named.select("grp", "id", "cls").distinct(), "members")
     # Ids that are given while the rows are written stay what they are once read back.
     classes = materialize(
         named.groupBy("grp", "cls").agg(F.min("id").alias("head"), F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()), "classes"
