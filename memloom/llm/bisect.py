@@ -206,7 +206,7 @@ def similarity_clusters(df: DataFrame, group, item: str, vector: str, least: flo
     once; equal vectors are linked.  A group may be of any size.
     """
     members, classes = vector_classes(df, group, item, vector, dim, 1)
-    classes = materialize(classes, "classes")
+    members, classes = materialize(members, "members"), materialize(classes, "classes")
     leaves = materialize(bisecting_leaves(classes, math.acos(least) / 2, node), "leaves")
     keys = ["grp", "lo", "hi"]
     links = spread(tiled(leaves, tile), *keys).groupBy(*keys).applyInPandas(grouped(_touching(least)), "src string, dst string")
