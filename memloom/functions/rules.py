@@ -64,3 +64,12 @@ def quoted(value: str) -> str:
 
 def contains_any_sql(column: str, values: list[str]) -> str:
     return "(" + " or ".join(f"contains({column}, {quoted(v)})" for v in values) + ")"
+
+TRIGGERS = {
+    "error_handling": ["try", "catch", "error", "exception", "throw", "panic", "recover"], "authentication": ["auth", "login", "logout", "token", "jwt", "session", "password"],
+    "database": ["query", "select", "insert", "update", "delete", "transaction", "sql", "db."], "api": ["endpoint", "route", "handler", "request", "response", "http", "rest", "graphql"],
+    "testing": ["test", "spec", "mock", "stub", "assert", "expect", "describe", "it("], "config": ["config", "env", "environment", "setting", "option", "flag"],
+    "async": ["async", "await", "promise", "callback", "observable", "concurrent"], "security": ["encrypt", "decrypt", "hash", "salt", "sanitize", "escape", "xss", "csrf"],
+}
+VAGUE = ["thing", "things", "stuff", "something", "somehow", "somewhere", "sometime", "maybe", "probably", "might", "basically", "essentially", "generally", "etc", "whatever"]
+PATH_SIGNS = [".go", ".py", ".ts", ".js", ".md", ".yaml", ".yml", ".json", "http://", "https://", "internal/", "cmd/"]

@@ -272,3 +272,93 @@ def version_conflicts(spark, d):
     e = T.table(spark, d, "query_log").groupBy("space_id").agg(F.count("*").alias("expected"))
     v = F.col("ingest_count")
     return T.table(spark, d, "spaces").join(e, "space_id").select("space_id", v.alias("version"), "expected", F.when(v == F.col("expected"), "applied").when(v > F.col("expected"), "conflict").otherwise("ahead").alias("state"))
+
+
+@query(
+    "context_triggers",
+    f"with {QL}, t as (" + " union all ".join(f"select query_id, '{k}' as trigger, " + " + ".join(f"contains(lower(query_text), {R.quoted(w)})::int" for w in v) + " as n from ql" for k, v in R.TRIGGERS.items()) + ") select query_id, trigger, n as keywords from t where n > 0",
+)
+def context_triggers(spark, d):
+    """What a query's words suggest looking at, and how many of them do."""
+    low = F.lower("query_text")
+    count = lambda v: F.size(F.filter(F.array(*[F.lit(w) for w in v]), lambda w: low.contains(w)))
+    per = F.array(*[F.struct(F.lit(k).alias("trigger"), count(v).alias("n")) for k, v in R.TRIGGERS.items()])
+    return queries(spark, d).select("query_id", F.explode(per).alias("t")).where("t.n > 0").select("query_id", F.col("t.trigger").alias("trigger"), F.col("t.n").alias("keywords"))
+
+
+@query(
+    "result_conflicts",
+    f"""with {NODES}, {RESULTS}, {QL}, x as (select r.query_id, r.node_id, r.score, lower(coalesce(n.summary, '')) sm, lower(coalesce(n.name, '')) nm, lower(q.query_text) q from res r join nodes_m n using (node_id) join ql q using (query_id) where r.score is not null),
+c as (select query_id, node_id, 'deprecated' kind from x where contains(sm, 'deprecated') and score > 0.7 union all select query_id, node_id, 'advised against' from x where (contains(sm, 'avoid') or contains(sm, 'don''t') or contains(sm, 'do not')) and score > 0.6
+  union all select query_id, node_id, 'naming' from x where (contains(sm, 'naming') or contains(nm, 'convention')) and score > 0.65
+  union all select query_id, node_id, 'opposite' from x where score > 0.6 and ((contains(q, 'sync') and contains(sm, 'async')) or (contains(q, 'class') and contains(sm, 'function')) or (contains(q, 'sql') and contains(sm, 'nosql')) or (contains(q, 'rest') and contains(sm, 'graphql'))))
+select distinct query_id, node_id, kind from c""",
+)
+def result_conflicts(spark, d):
+    """Results that speak against what is asked for."""
+    blank = F.lit("")
+    n = T.nodes(spark, d).select("node_id", F.lower(F.coalesce("summary", blank)).alias("sm"), F.lower(F.coalesce("name", blank)).alias("nm"))
+    x = T.results(spark, d).where("score is not null").select("query_id", "node_id", "score").join(n, "node_id").join(queries(spark, d).select("query_id", F.lower("query_text").alias("q")), "query_id")
+    sm, q, s = F.col("sm"), F.col("q"), F.col("score")
+    opposite = (q.contains("sync") & sm.contains("async")) | (q.contains("class") & sm.contains("function")) | (q.contains("sql") & sm.contains("nosql")) | (q.contains("rest") & sm.contains("graphql"))
+    kinds = F.array_compact(
+        F.array(
+            F.when(sm.contains("deprecated") & (s > 0.7), "deprecated"), F.when((sm.contains("avoid") | sm.contains("don't") | sm.contains("do not")) & (s > 0.6), "advised against"),
+            F.when((sm.contains("naming") | F.col("nm").contains("convention")) & (s > 0.65), "naming"), F.when(opposite & (s > 0.6), "opposite"),
+        )
+    )
+    return x.select("query_id", "node_id", F.explode(kinds).alias("kind")).distinct()
+
+
+IDENT = r"[a-z][A-Z]|[A-Z]{2,}[a-z]|[A-Za-z]_|_[A-Za-z]"
+
+
+@query(
+    "specificity",
+    f"""with ob as (select distinct obs_id, content from observations where content is not null and content <> ''), w as (select obs_id, content, list_filter(regexp_split_to_array(content, '\\s+'), lambda x: x <> '') ws from ob),
+k as (select obs_id, content, len(ws) n, len(list_filter(ws, lambda x: regexp_matches(regexp_replace(x, '[.,;:!?()\\[\\]{{}}"''`]+$', ''), '{IDENT}') or (contains(regexp_replace(x, '[.,;:!?()\\[\\]{{}}"''`]+$', ''), '.') and regexp_matches(x, '[a-z]') and strlen(regexp_replace(x, '[.,;:!?()\\[\\]{{}}"''`]+$', '')) > 5))) i,
+  len(list_filter(ws, lambda x: list_contains([{", ".join(R.quoted(v) for v in R.VAGUE)}], lower(regexp_replace(x, '[.,;:!?]+$', ''))))) vague from w)
+select obs_id, round(least(1.0, greatest(0.0, case when n >= 30 then 0.3 when n >= 15 then 0.2 when n >= 5 then 0.1 else 0 end + case when n = 0 then 0 when i / n >= 0.15 then 0.3 when i / n >= 0.08 then 0.2 when i / n >= 0.03 then 0.1 else 0 end + case when regexp_matches(content, '[0-9]') then 0.1 else 0 end
+  + case when contains(content, '/') and ({R.contains_any_sql('content', R.PATH_SIGNS)} or starts_with(content, '/')) then 0.15 else 0 end + case when contains(content, chr(34)) or contains(content, chr(39)) or contains(content, '`') then 0.1 else 0 end - case when n > 0 and vague / n > 0.3 then 0.15 else 0 end)), 6) as specificity from k""",
+)
+def specificity(spark, d):
+    """The third part of an observation's quality: length, identifiers, numbers, paths, quotes, less vague words."""
+    o = T.observations(spark, d, "content").where("content is not null and content <> ''")
+    o = o.withColumn("ws", F.filter(F.split("content", r"\s+"), lambda x: x != "")).withColumn("n", F.size("ws"))
+    bare = lambda x: F.regexp_replace(x, "[.,;:!?()\\[\\]{}\"'`]+$", "")
+    ident = F.size(F.filter("ws", lambda x: bare(x).rlike(IDENT) | (bare(x).contains(".") & x.rlike("[a-z]") & (F.octet_length(bare(x)) > 5)))) / F.greatest("n", F.lit(1))
+    vague = F.size(F.filter("ws", lambda x: F.lower(F.regexp_replace(x, "[.,;:!?]+$", "")).isin(R.VAGUE))) / F.greatest("n", F.lit(1))
+    c, n = F.col("content"), F.col("n")
+    score = F.when(n >= 30, 0.3).when(n >= 15, 0.2).when(n >= 5, 0.1).otherwise(0.0)
+    score = score + F.when(n == 0, 0.0).when(ident >= 0.15, 0.3).when(ident >= 0.08, 0.2).when(ident >= 0.03, 0.1).otherwise(0.0) + F.when(c.rlike("[0-9]"), 0.1).otherwise(0.0)
+    score = score + F.when(c.contains("/") & (R.contains_any(c, R.PATH_SIGNS) | c.startswith("/")), 0.15).otherwise(0.0) + F.when(c.contains('"') | c.contains("'") | c.contains("`"), 0.1).otherwise(0.0) - F.when(vague > 0.3, 0.15).otherwise(0.0)
+    return o.select("obs_id", r6(S.clamp(score)).alias("specificity"))
+
+
+@query(
+    "node_symbols",
+    f"with {NODES}, {HIER}, k as (select space_id, node_id, path, string_split(path, '#')[1] file_ from nodes_m where role_type = 'code'), f as (select a.node_id, b.node_id symbol, row_number() over (partition by a.node_id order by b.node_id) r from k a join k b on a.space_id = b.space_id and a.file_ = b.file_ and contains(b.path, '#') where a.node_id <> b.node_id) select node_id, symbol from f where r <= 20",
+)
+def node_symbols(spark, d):
+    """The first 20 symbols in the file of each code node."""
+    k = T.nodes(spark, d).where("role_type = 'code'").select("space_id", "node_id", "path", F.split("path", "#")[0].alias("file"))
+    b = k.where(F.col("path").contains("#")).select("space_id", "file", F.col("node_id").alias("symbol"))
+    f = k.join(b, ["space_id", "file"]).where("node_id <> symbol").withColumn("r", F.row_number().over(Window.partitionBy("node_id").orderBy("symbol"))).where("r <= 20")
+    return f.select("node_id", "symbol")
+
+
+@query(
+    "recall_filter",
+    "select distinct obs_id from observations where created_at >= timestamp '2025-03-01' and created_at < timestamp '2025-09-01' and obs_type in ('decision', 'correction', 'learning') and session_id is not null",
+)
+def recall_filter(spark, d):
+    """Creation time, types and session together."""
+    o = T.table(spark, d, "observations").where("created_at >= timestamp '2025-03-01' and created_at < timestamp '2025-09-01'")
+    return o.where(F.col("obs_type").isin("decision", "correction", "learning") & F.col("session_id").isNotNull()).select("obs_id").distinct()
+
+
+@query("keyword_cleaning", f"with {QL}, c as (select query_id, query_text, trim(regexp_replace(regexp_replace(query_text, '(?i)recent changes to|recent|latest|updated', '', 'g'), '\\s+', ' ', 'g')) t from ql) select query_id, case when t = '' then query_text else t end as cleaned from c")
+def keyword_cleaning(spark, d):
+    """Time words off, blanks collapsed, never empty."""
+    t = F.trim(F.regexp_replace(F.regexp_replace("query_text", "(?i)recent changes to|recent|latest|updated", ""), r"\s+", " "))
+    return queries(spark, d).select("query_id", F.when(t == "", F.col("query_text")).otherwise(t).alias("cleaned"))

@@ -308,3 +308,20 @@ def test_join_small_either_way(spark):
 
 def test_materialize_gives_the_rows_back(spark):
     assert materialize(spark.range(7), "t").agg(F.sum("id")).first()[0] == 21
+
+
+def test_repository_pages_and_vectors(spark, tmp_path):
+    from memloom.sources import files
+
+    root = tmp_path / "repo"
+    for name, text in (("src/a.py", "x = 1\n"), ("src/b.md", "# t"), ("vendor/c.py", "y"), ("big.py", "z" * 300), ("bin.py", "a\x00b")):
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    got = {r["file_path"]: r["content"] for r in files.read_repository(spark, str(root), "s", [".py"], ["vendor"], largest=200).collect()}
+    assert got == {"src/a.py": "x = 1\n"}
+    html = "<html><style>p{}</style><h2 class='x'>Part &amp; parcel</h2><p>One<br>two</p><script>1</script></html>"
+    assert value(spark, files.strip_html(F.lit(html))) == "## Part & parcel\nOne\ntwo"
+    v = value(spark, files.hashed_vector(F.lit("Graph graph memory"), 16))
+    assert len(v) == 16 and sum(x * x for x in v) == pytest.approx(1) and value(spark, files.hashed_vector(F.lit(None).cast("string"), 4)) == [0.0] * 4
+    (tmp_path / "e.json").write_text('{"a": 1}\nnot json\n')
+    assert [r["_corrupt"] for r in files.read_json_events(spark, str(tmp_path / "e.json"), "a int").collect()] == [None, "not json"]
