@@ -41,7 +41,7 @@ def repair(seq: np.ndarray, batch: int = BATCH) -> tuple[np.ndarray, list[tuple[
     the work is near-linear in long files too; pairs left by an earlier
     replacement are counted again in the next round.
     """
-    s = np.asarray(seq, np.int64)
+    s = np.array(seq, np.int64)
     nxt = int(s.max()) + 1 if len(s) else 0
     rules: list[tuple[int, int]] = []
     used: list[int] = []
@@ -113,10 +113,17 @@ _LIBRARY = re.compile(r"(?i)(?:copied verbatim from the|part of|vendored from|@l
 
 SCHEMA = (
     "grp string, path string, tokens long, control long, style boolean, shape_ratio double, word_ratio double, reuse double, literal double, opaque double, wide double, short_names double, comment double, "
-    "says_tool boolean, says_copied boolean, tool_name boolean, small_name boolean, foreign_dir boolean, sourcemap boolean, versioned array<string>, library array<string>, marks array<long>"
+    "says_tool boolean, says_copied boolean, tool_name boolean, small_name boolean, foreign_dir boolean, sourcemap boolean, versioned array<string>, library array<string>, marks array<long>, copy long"
 )
 
 
+#: Grammars of one form repeated grow with the logarithm of the length, those of written code about with its
+#: square root, so size / sqrt(length) tells them apart at any length.
+FORM = 4.6
+LEAST_TOKENS = 60
+MARK = 30  # tokens of a rule that tells a copy: shorter ones recur between strangers as idioms
+
+
 def features(path: str, content: str) -> dict:
     text = content.lstrip("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
     kinds, words = [], []
@@ -138,7 +145,10 @@ def features(path: str, content: str) -> dict:
     opaque = sum(len(w) for k, w in code if k == "text" and len(w) > 80 and " " not in w[:80])
     lines = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//#", "/*", "//", "# "))]
     ids = [w for k, w in code if k == "name" and w not in KEYWORDS]
-    marks = {xxhash.xxh3_64_intdigest(" ".join(map(str, [list(names)[t] for t in x]))) >> 1 for _, x in expansions(rules2, len(names), 12)} if rules2 else set()
+    order = list(names)
+    told = lambda seq: xxhash.xxh3_64_intdigest("\0".join(order[t] for t in seq)) >> 1
+    marks = {told(x) for _, x in expansions(rules2, len(names), MARK)}
+    copy = told(b) if n >= LEAST_TOKENS else None
     stated = [re.sub(r"\s+", " ", c) for block in comments for c in block.split("\n")]
     return {
         "tokens": n,
@@ -161,14 +171,10 @@ def features(path: str, content: str) -> dict:
         "versioned": sorted({m[0].lower() for m in _VERSIONED.findall(path)}),
         "library": sorted({(x or y).lower() for c in stated if _COPIED.search(c) and not _NOT_COPIED.search(c) for x, y in _LIBRARY.findall(c)}),
         "marks": sorted(marks),
+        "copy": copy,
     }
 
 
-#: Grammars of one form repeated grow with the logarithm of the length, those of written code about with its
-#: square root, so size / sqrt(length) tells them apart at any length.
-FORM = 4.6
-LEAST_TOKENS = 60
-
 
 def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
@@ -194,12 +200,14 @@ def file_origins(df: DataFrame, repository: str, path: str, content: str) -> Dat
     marks = files.select(*key, F.size("marks").alias("of"), F.explode("marks").alias("mark"))
     elsewhere = marks.select("grp", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
     shared = marks.join(elsewhere, "mark", "left_semi").groupBy(*key).agg((F.count("*") / F.first("of")).alias("shared"), F.count("*").alias("shared_rules"))
-    told = files.drop("marks").join(in_library, key, "left").join(shared, key, "left").fillna({"library_dir": False, "shared": 0.0, "shared_rules": 0})
+    # The whole sequence of words, comments aside, in more than one repository: a copy.
+    copies = files.where("copy is not null").select("grp", "copy").distinct().groupBy("copy").agg(F.count("*").alias("n")).where("n > 1").select("copy", F.lit(True).alias("copied"))
+    told = files.drop("marks").join(copies, "copy", "left").join(in_library, key, "left").join(shared, key, "left").fillna({"library_dir": False, "copied": False, "shared": 0.0, "shared_rules": 0})
     data = (F.col("control") == 0) & ((F.col("literal") >= 0.5) | (F.col("opaque") >= 0.5)) & (F.col("tokens") > 0) & ~F.col("style")
     minified = F.col("small_name") | F.col("sourcemap") | ((F.col("short_names") >= 0.6) & (F.col("wide") >= 200)) | (F.col("style") & (F.col("wide") >= 400))
     form = (F.col("tokens") >= LEAST_TOKENS) & (F.col("shape_ratio") * F.sqrt("tokens") < FORM)
     generated = F.col("says_tool") | F.col("tool_name") | (form & ~data & ~minified)
-    vendored = F.col("says_copied") | F.col("foreign_dir") | F.col("library_dir") | ((F.col("shared_rules") >= 8) & (F.col("shared") >= 0.6))
+    vendored = F.col("says_copied") | F.col("foreign_dir") | F.col("library_dir") | F.col("copied") | ((F.col("shared_rules") >= 4) & (F.col("shared") >= 0.6))
     out = told.select(
         F.col("grp").alias(repository), F.col("path").alias(path), generated.alias("generated"), minified.alias("minified"), vendored.alias("vendored"), data.alias("data"),
         "tokens", "shape_ratio", "word_ratio", "reuse", "literal", "short_names", "shared",

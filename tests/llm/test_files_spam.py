@@ -59,6 +59,13 @@ def test_file_kinds(spark):
     assert file_origins(df.limit(0), "space_id", "file_path", "content").count() == 0
 
 
+def test_same_file_in_two_repositories_is_a_copy(spark):
+    other = HAND.replace("load_config", "read_pairs").replace("missing", "nothing at")
+    rows = [("r1", "a/x.py", HAND), ("r2", "b/y.py", "# another comment\n" + HAND), ("r1", "c/z.py", other), ("r1", "c/again.py", other)]
+    got = {r["file_path"]: r["vendored"] for r in file_origins(spark.createDataFrame(rows, "space_id string, file_path string, content string"), "space_id", "file_path", "content").collect()}
+    assert got == {"a/x.py": True, "b/y.py": True, "c/z.py": False, "c/again.py": False}
+
+
 def test_long_file_is_measured_whole():
     f = features("a.py", DATA * 60)
     assert f["tokens"] > 30_000 and f["control"] == 0
