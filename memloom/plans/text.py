@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from memloom.functions import rules as R
-from memloom.plans.base import NODES, RESULTS, query, r6
+from memloom.plans.base import NODES, ORACLES, RESULTS, query, r6
 from memloom.sources import tables as T
 
 QL = "ql as (select distinct query_id, space_id, query_text from query_log where query_text is not null)"
@@ -63,8 +63,8 @@ def _month_sql(word: str) -> str:
     f"""with ql as (select distinct query_id, query_text from query_log where query_text is not null union all {EXTRA}), k as (select *, {RULE_SQL} rule, {SOFT_N} soft from ql)
 select query_id, case when rule is not null then 'hard' when soft > 0 then 'soft' else 'none' end as mode, case when rule is not null then 0.9::double when soft > 1 then 0.85::double when soft = 1 then 0.7::double else 0.0::double end as confidence,
   case rule when 0 then ({NOWD} - {DAYS_SQL})::date when 1 then ({NOWD} - {DAYS_SQL})::date when 2 then {NOWD} when 3 then date '2025-12-01' when 4 then date '2025-01-01' when 5 then date '2025-11-24' when 6 then date '2025-11-01'
-    when 7 then try_cast(regexp_extract(query_text, '(?i)\\bsince\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) when 8 then {_month_sql('since')} when 11 then try_cast(regexp_extract(query_text, '(?i)\\bbetween\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) end as after_date,
-  case rule when 9 then try_cast(regexp_extract(query_text, '(?i)\\bbefore\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) when 10 then {_month_sql('before')} when 11 then try_cast(regexp_extract(query_text, '(?i)\\band\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) end as before_date from k""",
+    when 7 then try_cast(regexp_extract(query_text, '(?i)\\bsince\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) when 8 then {_month_sql('since')} when 11 then try_cast(regexp_extract(query_text, '(?i)\\bbetween\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) end::varchar as after_date,
+  case rule when 9 then try_cast(regexp_extract(query_text, '(?i)\\bbefore\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) when 10 then {_month_sql('before')} when 11 then try_cast(regexp_extract(query_text, '(?i)\\band\\s+(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1) as date) end::varchar as before_date from k""",
 )
 def temporal_intents(spark, d):
     """Time expressions of the logged queries and of a dozen fixed ones: twelve rules, the first that matches, else soft words."""
@@ -96,7 +96,7 @@ def temporal_intents(spark, d):
     before = F.when(r == 9, iso(part(r"\bbefore\s+(\d{4}-\d{2}-\d{2})", 1))).when(r == 10, month("before")).when(r == 11, iso(part(r"\band\s+(\d{4}-\d{2}-\d{2})", 1)))
     mode = F.when(r.isNotNull(), "hard").when(F.col("soft") > 0, "soft").otherwise("none")
     conf = F.when(r.isNotNull(), 0.9).when(F.col("soft") > 1, 0.85).when(F.col("soft") == 1, 0.7).otherwise(0.0)
-    return q.select("query_id", mode.alias("mode"), conf.alias("confidence"), after.alias("after_date"), before.alias("before_date"))
+    return q.select("query_id", mode.alias("mode"), conf.alias("confidence"), after.cast("string").alias("after_date"), before.cast("string").alias("before_date"))
 
 
 ISO = r"\d{4}-\d{2}-\d{2}"
@@ -108,13 +108,13 @@ NATURAL = rf"(?i)\b({R.MONTHS})\s+(\d{{1,2}}),?\s+(\d{{4}})\b"
     "canonical_dates",
     "with x as (select doc_id, substr(text, 1, 500) t from documents where text is not null), y as (select doc_id, coalesce("
     + ", ".join(f"try_cast(nullif(regexp_extract(t, {R.quoted(p)}, 1), '') as date)" for p in DATES)
-    + ") dt from x) select distinct doc_id, dt as canonical_date from y where dt >= date '2000-01-01' and dt <= date '2026-12-01'",
+    + ") dt from x) select distinct doc_id, dt::varchar as canonical_date from y where dt >= date '2000-01-01' and dt <= date '2026-12-01'",
 )
 def canonical_dates(spark, d):
     """The content date of a text: changelog, version, metadata, then any ISO date, in its first 500 characters."""
     t = T.table(spark, d, "documents").where("text is not null").select("doc_id", F.substring("text", 1, 500).alias("t"))
     found = F.coalesce(*[F.to_date(F.try_to_timestamp(F.nullif(F.regexp_extract("t", p, 1), F.lit("")), F.lit("yyyy-MM-dd"))) for p in DATES])
-    return t.withColumn("canonical_date", found).where("canonical_date between date '2000-01-01' and date '2026-12-01'").select("doc_id", "canonical_date").distinct()
+    return t.withColumn("canonical_date", found).where("canonical_date between date '2000-01-01' and date '2026-12-01'").select("doc_id", F.col("canonical_date").cast("string").alias("canonical_date")).distinct()
 
 
 BOOST = {"decision": 0.2, "correction": 0.15}
@@ -281,3 +281,9 @@ def gap_interviews(spark, d):
     """Questions for the ten most pressing gaps."""
     g = query_gaps(spark, d).where("priority >= 0.1 and occurrences >= 3").orderBy(F.desc("priority"), F.desc("occurrences"), "term").limit(10)
     return g.select("term", "priority", F.concat(F.lit("Queries about '"), "term", F.lit("' come back with low scores ("), F.col("occurrences").cast("string"), F.lit(" times). What should an answer contain?")).alias("question"))
+
+
+ORACLES["gap_interviews"] = (
+    "select term, priority, 'Queries about ''' || term || ''' come back with low scores (' || occurrences || ' times). What should an answer contain?' as question "
+    f"from ({ORACLES['query_gaps']}) where priority >= 0.1 and occurrences >= 3 order by priority desc, occurrences desc, term limit 10"
+)
