@@ -8,7 +8,7 @@ from memloom.functions import rules as R, scoring as S, vec as V
 from memloom.operators import graph as G
 from memloom.plans.base import ASSOC, EDGES, HIER, LEARNED, NODES, NOW_SQL, RESULTS, query, r6
 from memloom.plans.graph import CHILD, PAIRS_SQL, node_vectors
-from memloom.plans.retrieval import EFF, vectors
+from memloom.plans.retrieval import vectors
 from memloom.plans.text import QL, queries
 from memloom.sources import tables as T
 
