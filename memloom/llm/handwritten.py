@@ -13,7 +13,6 @@ and folders that tools give, are weighed with the grammar's figures.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np

@@ -16,7 +16,6 @@ survives is compared word for word, and groups are closed over the matches.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 

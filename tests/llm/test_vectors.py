@@ -1,7 +1,6 @@
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import functions as F
 
 from memloom.llm.bisect import bisect, describe_clusters, similarity_clusters
 from memloom.llm.vectors import most_similar
