@@ -6,7 +6,7 @@ from pyspark.sql import Window, functions as F
 
 from memloom.functions.languages import EXTENSIONS, LANGUAGES
 from memloom.functions.rules import quoted
-from memloom.operators import parse
+from memloom.operators import parse, relate
 from memloom.plans.base import query, r6
 from memloom.sources import tables as T
 from memloom.sources.shared import materialize
@@ -70,6 +70,19 @@ def resolved_calls(spark, d):
     return parse.resolve(calls, materialize(parse.symbols(f), "symbols"))
 
 
+@query("code_relations")
+def code_relations(spark, d):
+    """Every import, parent, interface and call by the language's own rules; ``relation_counts`` keeps to what its statement counts."""
+    return relate.relations(files(spark, d))
+
+
+@query("resolved_relations")
+def resolved_relations(spark, d):
+    """Where the targets of ``code_relations`` are declared: same file, same package, import by path suffix, only place of the space."""
+    f = files(spark, d)
+    return relate.resolve_all(materialize(relate.relations(f), "relations"), materialize(parse.symbols(f), "symbols"))
+
+
 @query("document_sections")
 def document_sections(spark, d):
     """Sections of all documents: those of 200 words and more are cut at headings, sections below 40 words merge forward."""
