@@ -87,6 +87,24 @@ def expansions(rules: list[tuple[int, int]], first: int, least: int, most: int =
     return out
 
 
+def tables(code: list[tuple[str, str]]) -> np.ndarray:
+    """Which tokens stand in a run of literals with only punctuation, constants and keys between them: a table, or a text in pieces.
+
+    A run counts from TABLE literals, or OPAQUE characters of literals without a
+    blank; messages and docstrings, which stand alone, are no run.
+    """
+    inside = np.zeros(len(code), bool)
+    first, literals, size, blank = 0, 0, 0, False
+    for i, (k, w) in enumerate([*code, ("name", "")]):
+        if k in ("number", "text"):
+            literals, size, blank = literals + 1, size + len(w), blank or " " in w
+        elif not (w in _BETWEEN if k != "name" else w in _CONSTANTS or w and w not in KEYWORDS and i + 1 < len(code) and code[i + 1][1] == ":"):
+            if literals >= TABLE or size >= OPAQUE and not blank:
+                inside[first:i] = True
+            first, literals, size, blank = i + 1, 0, 0, False
+    return inside
+
+
 def _shape(kind: str, word: str) -> str:
     if kind == "name":
         return word if word in KEYWORDS else "N"
@@ -111,7 +129,7 @@ _VERSIONED = re.compile(r"(?i)(?:^|/)([a-z][\w.]*?)[-@_]v?(\d+(?:\.\d+)+)/")
 _LIBRARY = re.compile(r"(?i)(?:copied verbatim from the|part of|vendored from|@license|from the|!)\s+([a-z][\w-]+)|^\W*([a-z][\w-]+) v?\d+(?:\.\d+)+ (?:-|\|)")
 
 SCHEMA = (
-    "grp string, path string, tokens long, control long, style boolean, shape_ratio double, word_ratio double, reuse double, literal double, opaque double, wide double, short_names double, comment double, "
+    "grp string, path string, tokens long, control long, style boolean, shape_ratio double, word_ratio double, reuse double, literal double, kept double, blob double, wide double, short_names double, comment double, "
     "says_tool boolean, says_copied boolean, tool_name boolean, small_name boolean, foreign_dir boolean, sourcemap boolean, versioned array<string>, library array<string>, marks array<long>, copy long"
 )
 
@@ -120,6 +138,11 @@ SCHEMA = (
 #: square root, so size / sqrt(length) tells them apart at any length.
 FORM = 4.6
 LEAST_TOKENS = 60
+TABLE = 8  # literals in a run that make a table
+KEPT = 0.25  # share of a table's literals that the grammar must still write for it to be data and not a repeated form
+OPAQUE = 80  # characters of literals in a run that holds no blank
+_BETWEEN = frozenset(", + - : { } [ ] ( ) \\ .".split())
+_CONSTANTS = frozenset("true false null None nil True False byte".split())
 MARK = 30  # tokens of a rule that tells a copy: shorter ones recur between strangers as idioms
 
 
@@ -141,10 +164,15 @@ def features(path: str, content: str) -> dict:
     start2, rules2, _ = repair(b)
     chars = sum(len(w) for _, w in code) or 1
     literal = sum(len(w) for k, w in code if k in ("number", "text"))
-    opaque = sum(len(w) for k, w in code if k == "text" and len(w) > 80 and " " not in w[:80])
+    held = tables(code)
+    bulk = {names[w] for (k, w), h in zip(code, held) if h and k in ("number", "text")}
+    rest = sum(len(w) for (_, w), h in zip(code, held) if not h)
+    whole = sum(len(w) for (k, w), h in zip(code, held) if h and k in ("number", "text"))
+    order = list(names)
+    # What the grammar writes of them: each rule's literals once, however often it is used.
+    fresh = sum(len(order[t]) for t in [*start2, *(x for rule in rules2 for x in rule)] if t in bulk)
     lines = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//#", "/*", "//", "# "))]
     ids = [w for k, w in code if k == "name" and w not in KEYWORDS]
-    order = list(names)
     told = lambda seq: xxhash.xxh3_64_intdigest("\0".join(order[t] for t in seq)) >> 1
     marks = {told(x) for _, x in expansions(rules2, len(names), MARK)}
     copy = told(b) if n >= LEAST_TOKENS else None
@@ -157,7 +185,8 @@ def features(path: str, content: str) -> dict:
         "word_ratio": (len(start2) + 2 * len(rules2)) / n if n else 1.0,
         "reuse": sum(used) / len(used) if used else 0.0,
         "literal": literal / chars,
-        "opaque": opaque / chars,
+        "kept": min(1.0, fresh / whole) if whole else 0.0,
+        "blob": fresh / (fresh + rest) if whole else 0.0,
         "wide": max((len(x) for x in lines), default=0) / 1.0,
         "short_names": sum(len(w) == 1 for w in ids) / len(ids) if ids else 0.0,
         "comment": sum(map(len, comments)) / max(1, len(text)),
@@ -202,7 +231,7 @@ def file_origins(df: DataFrame, repository: str, path: str, content: str) -> Dat
     # The whole sequence of words, comments aside, in more than one repository: a copy.
     copies = files.where("copy is not null").select("grp", "copy").distinct().groupBy("copy").agg(F.count("*").alias("n")).where("n > 1").select("copy", F.lit(True).alias("copied"))
     told = files.drop("marks").join(copies, "copy", "left").join(in_library, key, "left").join(shared, key, "left").fillna({"library_dir": False, "copied": False, "shared": 0.0, "shared_rules": 0})
-    data = (F.col("control") == 0) & ((F.col("literal") >= 0.5) | (F.col("opaque") >= 0.5)) & (F.col("tokens") > 0) & ~F.col("style")
+    data = (F.col("blob") >= 0.5) & (F.col("kept") >= KEPT) & ~F.col("style")
     minified = F.col("small_name") | F.col("sourcemap") | ((F.col("short_names") >= 0.6) & (F.col("wide") >= 200)) | (F.col("style") & (F.col("wide") >= 400))
     form = (F.col("tokens") >= LEAST_TOKENS) & (F.col("shape_ratio") * F.sqrt("tokens") < FORM)
     generated = F.col("says_tool") | F.col("tool_name") | (form & ~data & ~minified)

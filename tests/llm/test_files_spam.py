@@ -66,6 +66,21 @@ def test_same_file_in_two_repositories_is_a_copy(spark):
     assert got == {"a/x.py": True, "b/y.py": True, "c/z.py": False, "c/again.py": False}
 
 
+def test_data_is_literals_that_no_rule_shortens(spark):
+    dice = random.Random(4)
+    text = "".join(dice.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1200))
+    accessor = "\n\ndef load_blob():\n    if not BLOB:\n        return None\n    return decode(BLOB)\n"
+    pieces = " +\n    ".join(f'"{text[k : k + 70]}"' for k in range(0, 1190, 70))
+    settings = "".join(f'{n}_ADDRESS = "https://{n.lower()}.example.org/{n.lower()}/service"\n' for n in ("MAIL", "QUEUE", "STORE", "INDEX", "AUTH", "CACHE", "AUDIT", "PROXY", "TRACE"))
+    rows = [
+        ("r1", "a/blob.py", f'BLOB = "{text}"{accessor}'), ("r1", "a/pieces.py", f"BLOB = ({pieces}){accessor}"), ("r1", "a/table.py", DATA + "\ndef pick(key):\n    return table[key]\n"), ("r1", "a/code.py", HAND + f'KEY = "{text[:100]}"\n'),
+        ("r1", "a/settings.py", settings), ("r1", "a/ones.py", "table = [" + "1234567, " * 300 + "]\n"),
+    ]
+    got = {r["file_path"]: r for r in file_origins(spark.createDataFrame(rows, "space_id string, file_path string, content string"), "space_id", "file_path", "content").collect()}
+    assert {p for p, r in got.items() if r["data"]} == {"a/blob.py", "a/pieces.py", "a/table.py"}
+    assert {p for p, r in got.items() if r["hand_written"]} == {"a/code.py", "a/settings.py"} and got["a/ones.py"]["generated"]
+
+
 def test_long_file_is_measured_whole():
     f = features("a.py", DATA * 60)
     assert f["tokens"] > 30_000 and f["control"] == 0
