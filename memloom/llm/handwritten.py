@@ -105,6 +105,23 @@ def tables(code: list[tuple[str, str]]) -> np.ndarray:
     return inside
 
 
+def passages(words: list[str], b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and places of the marked windows of MARK tokens: the least of every SPREAD in a row, the same wherever the passage stands."""
+    n = len(b) - MARK + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    told = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)[b]
+    h = np.zeros(n, np.uint64)
+    for j in range(MARK):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + told[j : j + n]
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h = (h >> np.uint64(1)).astype(np.int64)
+    rows = np.lib.stride_tricks.sliding_window_view(h, min(SPREAD, n))
+    at = np.unique(np.arange(len(rows)) + rows.argmin(1))
+    return h[at], at
+
+
 def _shape(kind: str, word: str) -> str:
     if kind == "name":
         return word if word in KEYWORDS else "N"
@@ -130,7 +147,7 @@ _LIBRARY = re.compile(r"(?i)(?:copied verbatim from the|part of|vendored from|@l
 
 SCHEMA = (
     "grp string, path string, tokens long, control long, style boolean, shape_ratio double, word_ratio double, reuse double, literal double, kept double, blob double, wide double, short_names double, comment double, "
-    "says_tool boolean, says_copied boolean, tool_name boolean, small_name boolean, foreign_dir boolean, sourcemap boolean, versioned array<string>, library array<string>, marks array<long>, copy long"
+    "says_tool boolean, says_copied boolean, tool_name boolean, small_name boolean, foreign_dir boolean, sourcemap boolean, versioned array<string>, library array<string>, marks array<long>, places array<int>, copy long"
 )
 
 
@@ -143,7 +160,9 @@ KEPT = 0.25  # share of a table's literals that the grammar must still write for
 OPAQUE = 80  # characters of literals in a run that holds no blank
 _BETWEEN = frozenset(", + - : { } [ ] ( ) \\ .".split())
 _CONSTANTS = frozenset("true false null None nil True False byte".split())
-MARK = 30  # tokens of a rule that tells a copy: shorter ones recur between strangers as idioms
+MARK = 30  # tokens of a passage that tells a copy: shorter ones recur between strangers as idioms
+SPREAD = 8  # windows in a row of which one is marked, so that MARK + SPREAD - 1 equal tokens always share a mark
+PASSAGES, PART = 100, 0.6  # tokens, and share of a file's tokens, in passages of other repositories that make it a copy
 
 
 def features(path: str, content: str) -> dict:
@@ -174,7 +193,7 @@ def features(path: str, content: str) -> dict:
     lines = [x for x in text.split("\n") if x.strip() and not x.lstrip().startswith(("//#", "/*", "//", "# "))]
     ids = [w for k, w in code if k == "name" and w not in KEYWORDS]
     told = lambda seq: xxhash.xxh3_64_intdigest("\0".join(order[t] for t in seq)) >> 1
-    marks = {told(x) for _, x in expansions(rules2, len(names), MARK)}
+    marks, places = passages(order, b)
     copy = told(b) if n >= LEAST_TOKENS else None
     stated = [re.sub(r"\s+", " ", c) for block in comments for c in block.split("\n")]
     return {
@@ -198,7 +217,8 @@ def features(path: str, content: str) -> dict:
         "sourcemap": any("sourceMappingURL=" in c for c in comments),
         "versioned": sorted({m[0].lower() for m in _VERSIONED.findall(path)}),
         "library": sorted({(x or y).lower() for c in stated if _COPIED.search(c) and not _NOT_COPIED.search(c) for x, y in _LIBRARY.findall(c)}),
-        "marks": sorted(marks),
+        "marks": marks.tolist(),
+        "places": places.tolist(),
         "copy": copy,
     }
 
@@ -225,17 +245,19 @@ def file_origins(df: DataFrame, repository: str, path: str, content: str) -> Dat
     key = ["grp", "path"]
     libraries = files.select("grp", F.explode("library").alias("name")).distinct().groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
     in_library = files.select(*key, F.explode("versioned").alias("name")).join(libraries, "name", "left_semi").select(*key).distinct().withColumn("library_dir", F.lit(True))
-    marks = files.select(*key, F.size("marks").alias("of"), F.explode("marks").alias("mark"))
+    marks = files.select(*key, F.explode(F.arrays_zip("marks", "places")).alias("m")).select(*key, F.col("m.marks").alias("mark"), F.col("m.places").alias("place"))
     elsewhere = marks.select("grp", "mark").distinct().groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    shared = marks.join(elsewhere, "mark", "left_semi").groupBy(*key).agg((F.count("*") / F.first("of")).alias("shared"), F.count("*").alias("shared_rules"))
+    places = marks.join(elsewhere, "mark", "left_semi").groupBy(*key).agg(F.array_sort(F.collect_list("place")).alias("p"))  # as many as the file has
+    step = F.zip_with(F.slice("p", 2, F.size("p")), F.slice("p", 1, F.size("p") - 1), lambda x, y: F.least(x - y, F.lit(MARK)))
+    shared = places.select(*key, F.aggregate(step, F.lit(MARK), lambda a, x: a + x).alias("passed"))
     # The whole sequence of words, comments aside, in more than one repository: a copy.
     copies = files.where("copy is not null").select("grp", "copy").distinct().groupBy("copy").agg(F.count("*").alias("n")).where("n > 1").select("copy", F.lit(True).alias("copied"))
-    told = files.drop("marks").join(copies, "copy", "left").join(in_library, key, "left").join(shared, key, "left").fillna({"library_dir": False, "copied": False, "shared": 0.0, "shared_rules": 0})
+    told = files.drop("marks", "places").join(copies, "copy", "left").join(in_library, key, "left").join(shared, key, "left").fillna({"library_dir": False, "copied": False, "passed": 0}).withColumn("shared", F.when(F.col("tokens") > 0, F.col("passed") / F.col("tokens")).otherwise(0.0))
     data = (F.col("blob") >= 0.5) & (F.col("kept") >= KEPT) & ~F.col("style")
     minified = F.col("small_name") | F.col("sourcemap") | ((F.col("short_names") >= 0.6) & (F.col("wide") >= 200)) | (F.col("style") & (F.col("wide") >= 400))
     form = (F.col("tokens") >= LEAST_TOKENS) & (F.col("shape_ratio") * F.sqrt("tokens") < FORM)
     generated = F.col("says_tool") | F.col("tool_name") | (form & ~data & ~minified)
-    vendored = F.col("says_copied") | F.col("foreign_dir") | F.col("library_dir") | F.col("copied") | ((F.col("shared_rules") >= 4) & (F.col("shared") >= 0.6))
+    vendored = F.col("says_copied") | F.col("foreign_dir") | F.col("library_dir") | F.col("copied") | ((F.col("passed") >= PASSAGES) & (F.col("shared") >= PART) & ~generated)  # one tool writes alike in many places
     out = told.select(
         F.col("grp").alias(repository), F.col("path").alias(path), generated.alias("generated"), minified.alias("minified"), vendored.alias("vendored"), data.alias("data"),
         "tokens", "shape_ratio", "word_ratio", "reuse", "literal", "short_names", "shared",

@@ -66,6 +66,38 @@ def test_same_file_in_two_repositories_is_a_copy(spark):
     assert got == {"a/x.py": True, "b/y.py": True, "c/z.py": False, "c/again.py": False}
 
 
+LIBRARY = HAND + """
+def merge_counts(left, right, weight=2):
+    total = dict(left)
+    for key, number in right.items():
+        if key not in total:
+            total[key] = 0
+        total[key] += weight * number
+    return {key: number for key, number in sorted(total.items()) if number > 0}
+
+class Window:
+    def __init__(self, size):
+        self.size = size
+        self.rows = []
+
+    def push(self, row):
+        self.rows.append(row)
+        while len(self.rows) > self.size:
+            self.rows.pop(0)
+        return self
+"""
+
+
+def test_edited_copies_are_found(spark):
+    edited = LIBRARY.replace("import os", "import os.path as os").replace("weight=2", "weight=3") + "\n\ndef local_helper(rows):\n    return [row.strip() for row in rows if row]\n"
+    # Own code with one passage in common with the library: a few lines, not most of the file.
+    own = "".join(f"def step_{a}({a}, {b}):\n    {a}.{b}({k})\n    return {b}[{a}:{k}]\n\n" for k, (a, b) in enumerate(zip("alpha beta gamma delta epsilon zeta eta theta iota".split(), "red green blue black white grey pink brown gold".split()))) + LIBRARY[LIBRARY.index("class Window") :]
+    rows = [("r1", "a/lib.py", LIBRARY), ("r2", "b/copy.py", edited), ("r3", "c/own.py", own), ("r4", "d/one.py", HAND.replace("load_config", "other_name").replace("limit", "most"))]
+    got = {r["file_path"]: (r["vendored"], r["shared"]) for r in file_origins(spark.createDataFrame(rows, "space_id string, file_path string, content string"), "space_id", "file_path", "content").collect()}
+    assert {p for p, (v, _) in got.items() if v} == {"a/lib.py", "b/copy.py"}, got
+    assert 0 < got["c/own.py"][1] < 0.6
+
+
 def test_data_is_literals_that_no_rule_shortens(spark):
     dice = random.Random(4)
     text = "".join(dice.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1200))
