@@ -181,6 +181,25 @@ def dbscan(vectors: DataFrame, eps: float = 0.1, min_samples: int = 3, tile: int
     return vectors.select("grp", "id").join(named.unionByName(border), "id", "left").select("grp", "id", "cluster")
 
 
+def split_clusters(members: DataFrame, most: int = 200, depth: int = 2, least: int = 3) -> DataFrame:
+    """``members`` (cluster, id, path, ...) with ``prefix`` and ``hidden_id``: clusters up to ``most`` stay whole.
+
+    Larger ones are parted by the first ``depth`` segments of the path, then cut
+    in runs of ``most`` by id; parts below ``least`` make no node.  A null or
+    empty path is ``_unknown_``, and a path ends at #.
+    """
+    parts = F.filter(F.split(F.regexp_replace("path", "#.*$", ""), "/"), lambda x: x != "")
+    prefix = F.when(F.coalesce("path", F.lit("")) == "", "_unknown_").when(F.size(parts) <= depth, F.col("path")).otherwise(F.array_join(F.slice(parts, 1, depth), "/"))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("size"))
+    m = members.withColumn("prefix", prefix).join(sizes, "cluster")
+    run = F.floor((F.row_number().over(Window.partitionBy("cluster", "prefix").orderBy("id")) - 1) / most)
+    large = m.where(F.col("size") > most).withColumn("hidden_id", F.concat_ws("#", "cluster", "prefix", run.cast("string")))
+    whole = m.where(F.col("size") <= most).withColumn("hidden_id", F.col("cluster").cast("string"))
+    both = whole.unionByName(large).drop("size")
+    kept = both.groupBy("hidden_id").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("hidden_id")
+    return both.join(kept, "hidden_id", "left_semi")
+
+
 def mean_vectors(rows: DataFrame, key, vector: str = "vec", weight=None) -> DataFrame:
     """Element-wise (weighted) mean by key, summed per position so that any group is added in parallel."""
     keys = [key] if isinstance(key, str) else list(key)

@@ -176,6 +176,39 @@ def node_vectors(spark, d):
     return v.select("node_id", F.col("embedding").alias("vec")).distinct()
 
 
+def unlinked_base(spark, d):
+    """(grp, id, path, vec): nodes of layer 0 without a parent, with the vector of their first observation."""
+    v = T.observations(spark, d, "node_id", "embedding").where(V.usable(F.col("embedding")) & F.col("node_id").isNotNull()).groupBy("node_id").agg(F.min_by("embedding", "obs_id").alias("vec"))
+    linked = T.hierarchy_edges(spark, d).where("rel_type = 'GENERALIZES'").select(F.col("src").alias("node_id"))
+    base = T.nodes(spark, d).where("layer = 0 and space_id is not null").select("space_id", "node_id", "path").join(linked, "node_id", "left_anti")
+    return base.join(v, "node_id").select(F.col("space_id").alias("grp"), F.col("node_id").alias("id"), "path", "vec")
+
+
+def _hidden_members(spark, d):
+    base = materialize(unlinked_base(spark, d), "base")
+    lab = materialize(G.dbscan(base.select("grp", "id", "vec"), 0.1, 3).where("cluster is not null"), "dbscan")
+    return materialize(G.split_clusters(base.join(lab.select("id", "cluster"), "id"), 200, 2, 3), "members")
+
+
+@query("hidden_layer")
+def hidden_layer(spark, d):
+    """A node per cluster of unlinked base nodes, with its centroid; clusters above 200 are cut by path and then in runs of 200."""
+    m = _hidden_members(spark, d)
+    mean = G.mean_vectors(m, "hidden_id").withColumnRenamed("mean", "centroid")
+    g = m.groupBy("hidden_id").agg(F.first("grp").alias("space_id"), F.count("*").alias("members"), F.min("id").alias("first_member"), F.count_distinct("prefix").alias("dirs"))
+    text = F.concat(F.lit("Pattern of "), F.col("members").cast("string"), F.lit(" elements in "), F.col("dirs").cast("string"), F.lit(" groups"))
+    return g.join(mean, "hidden_id").withColumn("summary", text)
+
+
+@query("hidden_edges")
+def hidden_edges(spark, d):
+    """GENERALIZES from every member to its hidden node; the weight is 1 less half the distance to the centroid."""
+    m = _hidden_members(spark, d)
+    gap = F.zip_with("vec", "mean", lambda x, y: x.cast("double") - y)
+    e = m.join(G.mean_vectors(m, "hidden_id"), "hidden_id")
+    return e.select(F.col("grp").alias("space_id"), F.col("id").alias("src"), F.col("hidden_id").alias("dst"), F.lit("GENERALIZES").alias("rel_type"), r6(1.0 - V.norm(gap) / 2).alias("weight"))
+
+
 @query(
     "forward_pass",
     f"""with {CHILD}, ex as (select h.dst, h.weight w, unnest(c.v) x, unnest(range(1, 65)) pos from hier h join nv c on c.node_id = h.src), m as (select dst, pos, sum(w * x) / sum(w) x from ex group by 1, 2), a as (select dst, list(x order by pos) agg from m group by 1),
