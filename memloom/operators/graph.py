@@ -24,6 +24,8 @@ def bfs(seeds: DataFrame, edges: DataFrame, depth: int = 3, most: int | None = N
     edge = edges.select("src", "dst").distinct()
     frontier = found
     for d in range(1, depth + 1):
+        if most is not None:  # what is farther than a root's ``most`` nearest can't be among them
+            frontier = frontier.join(found.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("root"), "root", "left_anti")
         step = frontier.join(edge, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
         frontier = materialize(step.join(found.select("root", "node"), ["root", "node"], "left_anti").withColumn("distance", F.lit(d)), "bfs")
         found = found.unionByName(frontier)

@@ -8,7 +8,7 @@ from memloom.functions import scoring as S, vec as V
 from memloom.operators import graph as G
 from memloom.operators.components import connected_components
 from memloom.plans.base import ASSOC, EDGES, HIER, NODES, query, r6
-from memloom.plans.retrieval import VECTORS, vectors
+from memloom.plans.retrieval import VECTORS, vector_topk, vectors
 from memloom.sources import tables as T
 from memloom.sources.shared import materialize
 
@@ -40,6 +40,19 @@ def reflect_lateral(spark, d):
     return G.bfs(reflect_roots(spark, d), e, 3, 200).select("root", "node", "distance", r6(1.0 / (1 + F.col("distance"))).alias("score"))
 
 
+def vector_core(spark, d):
+    """(root, node): the nodes of the 20 observations nearest to each that ``vector_topk`` asks for."""
+    near = vector_topk(spark, d).select(F.col("query_id").alias("root"), F.col("node_id").alias("obs_id"))
+    return near.join(T.observations(spark, d, "node_id").where("node_id is not null"), "obs_id").select("root", "node_id").distinct().withColumnRenamed("node_id", "node")
+
+
+@query("reflect_queries")
+def reflect_queries(spark, d):
+    """``reflect_lateral`` from the vector core of every observation whose number is divisible by 100, 3 steps, 200 nodes a query."""
+    e = undirected(T.edges(spark, d).where(f"rel_type in {LATERAL}"))
+    return G.bfs(vector_core(spark, d), e, 3, 200).select("root", "node", "distance", r6(1.0 / (1 + F.col("distance"))).alias("score"))
+
+
 @query(
     "reflect_abstractions",
     f"""with recursive {NODES}, {HIER}, w(root, node, dist) as (select src, dst, 1 from hier where rel_type = 'GENERALIZES' union select w.root, h.dst, w.dist + 1 from w join hier h on h.src = w.node where w.dist < 3)
