@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vec as V
 from memloom.operators import search
+from memloom.operators.kmeans import kmeans
 from memloom.plans import extras, memory, retrieval
 from memloom.plans.base import LEARNED, NODES, ORACLES, PAIRS, query, r6
 from memloom.plans.graph import CHILD, node_vectors
 from memloom.sources import tables as T
+from memloom.sources.shared import materialize
 
 
 def _joined(*names: str) -> str:
@@ -90,3 +92,10 @@ def kmeans_labels(spark, d):
     b = p.join(a, "space_id").groupBy("space_id").agg(F.min_by("u", F.struct(near, "node_id")).alias("b"))
     side = F.when(F.round(V.dot(F.col("u"), F.col("b")), 9) > near, 1).otherwise(0)
     return p.join(a, "space_id").join(b, "space_id").select("space_id", "node_id", side.alias("side"))
+
+
+@query("kmeans_rounds")
+def kmeans_rounds(spark, d, k: int = 2):
+    """k-means of all vectors of each space, from the farthest-first start to rest."""
+    v = materialize(retrieval.vectors(spark, d).select(F.col("space_id").alias("grp"), "id", "vec"), "kmeans")
+    return kmeans(v, k).withColumnsRenamed({"grp": "space_id", "id": "obs_id"})
