@@ -156,7 +156,7 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _table(spark, sf_dir, "code_elements").where("kind = 'module'")
-    return file_origins(files.select("space_id", F.coalesce("file_path", F.split("path", "#")[0]).alias("file_path"), "content"), "space_id", "file_path", "content")
+    return file_origins(files.select("space_id", F.coalesce("file_path", F.split("path", "#")[0]).alias("file_path"), "content"), "space_id", "file_path", "content", tools=False)
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

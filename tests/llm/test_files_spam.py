@@ -4,22 +4,28 @@ import numpy as np
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from memloom.llm.handwritten import expansions, features, file_origins, repair
+from memloom.llm.handwritten import FORM, expanded, features, file_origins, repair
 from memloom.llm.stuffing import measure, spam_scores
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=300))
-def test_grammar_gives_the_sequence_back(seq):
-    start, rules, used = repair(np.array(seq, np.int64))
-    first = max(seq) + 1 if seq else 0
-    whole = dict(enumerate((t for _, t in expansions(rules, first, 1, 10**6)), first))
-    assert [t for s in start for t in (whole[s] if s >= first else (s,))] == seq
-    pairs = list(zip(start[:-1], start[1:]))
-    seen = {}
-    for i, p in enumerate(pairs):  # no pair is left that could be replaced twice
-        assert p not in seen or i - seen[p] < 2 or (p[0] == p[1])
-        seen.setdefault(p, i)
+@given(st.lists(st.lists(st.integers(0, 4), max_size=120), max_size=5))
+def test_grammars_give_the_sequences_back(seqs):
+    flat, owner = np.array([x for q in seqs for x in q], np.int64), np.repeat(np.arange(len(seqs)), [len(q) for q in seqs])
+    start, whose, left, right, rule_owner, used = repair(flat, owner)
+    first = int(flat.max()) + 1 if len(flat) else 0
+    whole = dict(enumerate(expanded(left, right, first), first))
+    assert (used >= 2).all()
+    for k, seq in enumerate(seqs):
+        mine = start[whose == k].tolist()
+        assert [t for x in mine for t in (whole[x] if x >= first else (x,))] == seq
+        seen = {}
+        for i, p in enumerate(zip(mine[:-1], mine[1:])):  # no pair is left that could be replaced twice
+            assert p not in seen or i - seen[p] < 2 or (p[0] == p[1])
+            seen.setdefault(p, i)
+    for k in range(len(seqs)):  # side by side or alone, the grammar is the same
+        one = repair(flat[owner == k], owner[owner == k])
+        assert len(one[0]) == (whose == k).sum() and len(one[2]) == (rule_owner == k).sum()
 
 
 HAND = """import os
@@ -114,10 +120,45 @@ def test_data_is_literals_that_no_rule_shortens(spark):
 
 
 def test_long_file_is_measured_whole():
-    f = features("a.py", DATA * 60)
+    f = features([("a.py", DATA * 60)])[0]
     assert f["tokens"] > 30_000 and f["control"] == 0
 
 
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omega sigma tau".split()
+
+
+def _own(k: int) -> str:
+    """Written code, unlike for each k."""
+    dice = random.Random(k)
+    pick = lambda: dice.choice(WORDS) + "_" + dice.choice(WORDS) + str(dice.randrange(99))
+    forms = ["    {} = {}.get({}, {})\n", "    if not {}:\n        return {}\n", "    for {} in {}:\n        {}.append({})\n", "    {}({}[{}])\n", "    {} += len({}) - {}\n", "    raise {}({})\n", "    {} = [{} for {} in {} if {}]\n", "    while {} < {}:\n        {} += 1\n"]
+    return f"def {pick()}({pick()}, {pick()}):\n" + "".join(f.format(*[pick() for _ in range(f.count("{}"))]) for f in (dice.choice(forms) for _ in range(14)))
+
+
+def test_without_the_grammar_the_rows_are_lost(spark, monkeypatch):
+    import memloom.llm.handwritten as H
+
+    assert all(f["shapes"] >= FORM * f["tokens"] ** 0.5 for f in features([(f"{k}.py", _own(k)) for k in range(60)]))
+    getters = lambda k: "".join(f'func (x *{WORDS[k]}) Get{w.title()}() string {{\n\tif x != nil {{\n\t\treturn x.{w}\n\t}}\n\treturn ""\n}}\n' for w in WORDS)
+    # A tool that no list knows: its header and its file names are learned from the files whose form repeats.
+    rows = [(f"r{k % 3}", f"src/{WORDS[k]}_frobbed.go", "// Frobbed out of the wire description\n" + getters(k)) for k in range(8)]
+    rows += [(f"r{k % 3}", f"src/plain{k}.go", "// Frobbed out of the wire description\n" + _own(900 + k)) for k in range(4)]
+    rows += [(f"r{k % 3}", f"lib/{WORDS[k]}_frobbed.py", _own(950 + k)) for k in range(3)]
+    # Folders that hold what comments of several repositories name with a release.
+    libraries = [("zlibx", "2.1.0"), ("tinyq", "0.4.2"), ("mdlex", "1.0.3")]
+    rows += [(f"r{k // 3}", f"src/{n}{k}.py", f"# {n} {v} of the authors\n" + _own(700 + k)) for k, (n, v) in enumerate(libraries * 3)]
+    rows += [(f"r{k % 3}", f"borrowed/{n}/part{k}.py", _own(800 + k)) for k, (n, _) in enumerate(libraries * 2)]
+    rows += [("r1", "src/table.py", DATA), ("r2", "src/other.py", _own(5))]
+    rows += [(f"r{k % 3}", f"src/own{k}.py", f"# Helpers of {WORDS[k % 14]}\n" + _own(100 + k)) for k in range(30)]
+    df = spark.createDataFrame(rows, "space_id string, file_path string, content string")
+    found = lambda: {r["file_path"] for r in file_origins(df, "space_id", "file_path", "content", tools=False, copies=False).where("not hand_written").collect()}
+    made = {p for _, p, _ in rows if "frobbed" in p or "plain" in p}
+    assert found() == made | {p for _, p, _ in rows if p.startswith("borrowed/")} | {"src/table.py"}
+    monkeypatch.setattr(H, "FORM", 0.0)
+    monkeypatch.setattr(H, "KEPT", 2.0)
+    assert found() == {p for _, p, _ in rows if p.startswith("borrowed/")}
+
+
 PROSE = [
     "The scheduler of the old cluster drains every queue before it stops, because a half written batch would be lost.", "Nobody noticed that the review took longer than planned, although the dashboard showed it for days.",
     "A warm cache answers most of the requests, and the rest goes to the store behind it.", "When the lock file is left over from a crash, remove it by hand after you checked the owner.", "Each of these settings can be changed while the service runs, except for the port.",
