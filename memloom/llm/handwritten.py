@@ -23,6 +23,7 @@ of which no second one is at hand (``copies``).
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -57,7 +58,7 @@ MARK = 30  # tokens of a passage that tells a copy: shorter ones recur between s
 SPREAD = 8  # windows in a row of which one is marked, so that MARK + SPREAD - 1 equal tokens always share a mark
 PASSAGES, PART = 100, 0.6  # tokens, and share of a file's tokens, in passages of other repositories that make it a copy
 TOOL_FILES, TOOL_SHARE = 3, 0.4  # files of repeated form with a sign, and their share of all files with it, that make it a tool's mark
-SURE, BOUND = 1.64, 0.2  # that share's lower limit at 95 % (Wilson) must be this at least, so that chance in a few files makes no mark
+SURE = 2.0  # natural logarithm by which the odds against chance must exceed the number of signs tried
 LIBRARIES, FOREIGN = 2, 0.5  # different libraries in folders of a name, and their share of what it holds, that make it a foreign folder
 WIDE, WIDE_STYLE = 200, 400  # characters of a line of minified code, of a minified style sheet
 SHORT = 0.6  # share of names of one letter in minified code
@@ -148,6 +149,7 @@ _FOREIGN_DIR = re.compile(r"(?i)(?:^|/)(?:node_modules|bower_components|jspm_pac
 _RELEASE = re.compile(r"^([a-z][\w.]*?)[-@_]v?\d+(?:\.\d+)+$")
 _STATED = re.compile(r"\b([a-z][\w-]+)(?: project)?(?: \(release| version| release|,? imported from its|@)? v?\d+(?:\.\d+)+\b")
 _WORD = re.compile(r"[^\W_]+|[^\s\w]")
+_OPENS = re.compile(r"^\W*?(?:[/*#!]|<!--)+(?=[^/*#!])|^\s+\*?")  # what makes a line a comment is no part of what it says
 _NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+\d*|\d+|[._-]")
 
 SCHEMA = (
@@ -295,7 +297,7 @@ def features(files: list[tuple[str, str]], tools: bool = True, copies: bool = Tr
                 "comment": sum(map(len, comments)) / max(1, length), "says_tool": tools and (bool(_TOOL_NAME.search(path) or _TOOL_DIR.search(path)) or any(_TOOL.search(c) and not _NOT_TOOL.search(c) for c in stated)),
                 "says_copied": copies and any(_COPIED.search(c) and not _NOT_COPIED.search(c) for c in stated), "foreign_dir": copies and bool(_FOREIGN_DIR.search(path)),
                 "folders": folders, "released": sorted({x[1] for x in map(_RELEASE.match, folders) if x}), "library": sorted({x for c in stated for x in _STATED.findall(c.lower())}),
-                "signs": _signs(path, [w for c in stated for w in _WORD.findall(c.lower())], known), "marks": marks[on].tolist(), "places": places[on].tolist(),
+                "signs": _signs(path, [w for c in stated for w in _WORD.findall(_OPENS.sub("", c.lower()))], known), "marks": marks[on].tolist(), "places": places[on].tolist(),
                 "copy": xxhash.xxh3_64_intdigest(hashes[streams[i]].tobytes()) >> 1 if n >= LEAST_TOKENS else None,
             }
         )
@@ -330,9 +332,11 @@ def _tool_signs(files: DataFrame, form: Column) -> DataFrame:
     asked = of_form.groupBy("sign").agg(F.count("*").alias("formed"), F.min("repo").alias("a"), F.max("repo").alias("b")).where((F.col("formed") >= TOOL_FILES) & (F.col("a") != F.col("b"))).select("sign", "formed")
     asked = materialize(asked, "asked")
     n = join_small(files.select(F.explode("signs").alias("sign")), asked.select("sign"), "sign", "left_semi").groupBy("sign").agg(F.count("*").alias("n"))
-    share, z = F.col("formed") / F.col("n"), SURE * SURE / F.col("n")
-    low = (share + z / 2 - F.sqrt(z * share * (1 - share) + z * z / 4)) / (1 + z)
-    return n.join(asked, "sign").where((share >= TOOL_SHARE) & (low >= BOUND)).select("sign")
+    tried, (formed, number) = asked.count(), files.agg(F.count_if(form), F.count("*")).first()
+    # Chernoff's bound on so many or more formed files with a sign that has nothing to do with form.
+    expected = F.col("n") * F.lit(max(1, formed) / max(1, number))
+    against = F.col("formed") * F.log(F.col("formed") / expected) - F.col("formed") + expected
+    return n.join(asked, "sign").where((F.col("formed") >= TOOL_SHARE * F.col("n")) & (against >= SURE + math.log(max(1, tried)))).select("sign")
 
 
 def _foreign(files: DataFrame) -> tuple[DataFrame, DataFrame]:
