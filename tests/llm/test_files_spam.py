@@ -5,7 +5,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from memloom.llm.handwritten import FORM, expanded, features, file_origins, repair
-from memloom.llm.stuffing import measure, spam_scores
+from memloom.llm.stuffing import measure, passages, spam_scores
 
 
 @settings(max_examples=150, deadline=None)
@@ -172,14 +172,35 @@ SPAM = [
 ]
 
 
-def test_shares():
-    for s in SPAM:
-        assert measure(s)[2] > 0.8, s[:50]
-    for p in PROSE:
-        assert measure(p * 3)[2] < 0.5 or len(p) < 400
-    assert measure("\n".join(PROSE * 2))[2] < 0.1
-    assert measure("- [a guide](http://a.example/x): " + PROSE[0] + "\n- [another](http://b.example/y): " + PROSE[1])[2] < 0.1
-    assert measure("\n".join(PROSE * 4) + "\n" + SPAM[1][:300])[2] < 0.5
+def _prose(rnd: random.Random, k: int) -> str:
+    return "\n".join(rnd.sample(PROSE, 4)) + f" {k}"
+
+
+def test_shares(spark):
+    rnd = random.Random(5)
+    links = "- [a guide](http://a.example/x): " + PROSE[0] + "\n- [another](http://b.example/y): " + PROSE[1]
+    cases = {**{f"spam{k}": s for k, s in enumerate(SPAM)}, **{f"prose{k}": p * 3 for k, p in enumerate(PROSE)}, "plain": "\n".join(PROSE * 2), "annotated": links, "tail": "\n".join(PROSE * 4) + "\n" + SPAM[1][:300]}
+    cases |= {"doorway": "\n".join(f"Wissensgraph {w.title()}stadt" for w in WORDS * 2), "doorway zh": "\n".join(f"上下文窗口 {w.title()}" for w in WORDS * 2), "russian": "Планировщик очищает все очереди перед остановкой, потому что наполовину записанный пакет был бы потерян. Никто не заметил, что проверка заняла больше времени, чем ожидалось."}
+    # A stray fence opens no code; a closed one does.
+    cases |= {"stray fence": "```\n" + SPAM[3], "code": "```\n" + SPAM[3] + "\n```\n" + PROSE[0]}
+    df = spark.createDataFrame([(f"k{k}", _prose(rnd, k)) for k in range(300)] + list(cases.items()), "doc_id string, text string")
+    got = {r["doc_id"]: r["share"] for r in spam_scores(df, "doc_id", "text").collect()}
+    assert all(got[f"spam{k}"] > 0.8 for k in range(len(SPAM))), got
+    assert all(got[f"prose{k}"] < 0.5 for k in range(len(PROSE)) if len(PROSE[k]) * 3 >= 400)
+    assert got["plain"] < 0.1 and got["annotated"] < 0.1 and got["tail"] < 0.5 and got["russian"] < 0.5
+    assert got["doorway"] > 0.8 and got["doorway zh"] > 0.8 and got["stray fence"] > 0.8 and got["code"] < 0.5
+    # Without the distance nothing is judged: no limit is beyond reach, and no text is reported.
+    assert spam_scores(df, "doc_id", "text", limit=float("inf")).where("is_spam").count() == 0
+
+
+def test_passages_hold_the_whole_text():
+    rnd = random.Random(9)
+    for text in [*SPAM, *PROSE, "\n".join(_prose(rnd, k) for k in range(40)), "", " \n\t", "```\nx = 1\n```"]:
+        parts, code = passages(text)
+        assert sum(p[0] for p in parts) + code <= len(text) and all(p[1] <= p[0] for p in parts)
+        assert sum(p[0] for p in parts) + code >= sum(len(x.strip()) for x in text.splitlines()) - text.count(". ") - text.count("! ")
+    one, many = measure([PROSE[0] * 5]), measure([*SPAM, PROSE[0] * 5])
+    assert np.allclose(one[0][1], many[-1][1]) and one[0][0] == many[-1][0]
 
 
 def test_spam_scores(spark):
