@@ -1,26 +1,62 @@
+import random
+
 import numpy as np
-import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from memloom.llm import encode as E
 from memloom.llm.pack import assign, pack
 
-PARTS = ["hello world", " ", "\n", "  ", "it's", "'st", "don't.", "日本語のテスト。次の文、", "中文。", "ー。", "・。", "<|endoftext|>", "\t", "　", "𝒎𝒂", "123 456", "a" * 70, "é́", "\r\n", "\x00", "、", "x y ", "🙂 "]
+PARTS = ["hello world", " ", "\n", "  ", "it's", "'st", "don't.", "日本語のテスト。次の文、", "中文。", "ー。", "・。", "<|endoftext|>", "\t", "　", "𝒎𝒂", "123 456", "a" * 70, "é́", "\r\n", "\x00", "、", "x y ", "🙂 "]
+SCRIPTS = ["Планировщик очищает", "очереди, ", "جدول المهام", "، يحذف ", "ตารางงานจะล้าง", "คิว ", "योजना ", "कार्य।", "תור עבודה", "스케줄러가 ", "큐를.", "Ελληνικά; ", "١٢٣", "½ Ⅷ ", "'s", "''re", "\u180e", "\x1c", "\u200b", "ǅ", "\U0001e900"]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.sampled_from(PARTS) | st.text(max_size=12), max_size=60).map("".join).map(lambda s: s.encode("utf-8", "ignore").decode()), min_size=1, max_size=4))
-def test_chunks_side_by_side_are_the_whole(texts):
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(PARTS + SCRIPTS) | st.text(max_size=12), max_size=60).map("".join).map(lambda s: s.encode("utf-8", "ignore").decode()), st.lists(st.floats(0, 1), max_size=12), st.integers(0, 7))
+def test_joins_are_repaired_to_the_whole(text, where, rare):
     enc = E.encoding()
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], ["id", "text"])
-    old, E.MASK = E.MASK, 0  # cut at every place that qualifies
-    try:
-        for row, parts in E._chunks(batch):
-            assert b"".join(parts).decode() == texts[row]
-            assert [i for p in parts for i in enc.encode_ordinary(p.decode())] == enc.encode_ordinary(texts[row])
-    finally:
-        E.MASK = old
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    places = np.flatnonzero(E.sure(E.kinds()[points])) if len(points) else np.zeros(0, np.int64)
+    bounds = sorted({0, len(text), *(int(x * len(text)) for x in where)})  # cut anywhere
+    if not text:
+        return
+    parts = E.segments(text, bounds, places, lambda chunk: hash(chunk) % 8 >= rare)
+    assert "".join(text[s:e] for _, s, e, _ in parts) == text
+    assert [i for _, s, e, _ in parts for i in enc.encode_ordinary(text[s:e])] == enc.encode_ordinary(text)
+    for common, s, e, k in parts:  # what a chunk is encoded to goes by the chunk alone
+        if common:
+            chunk = text[bounds[k] : bounds[k + 1]]
+            own = np.flatnonzero(E.sure(E.kinds()[np.frombuffer(chunk.encode("utf-32-le"), np.uint32)]))
+            assert (s - bounds[k], e - bounds[k]) == (own[0], own[-1])
+
+
+def test_every_script_is_cut_and_shared():
+    dice = random.Random(3)
+    for letters in ("планировщикчезт", "جدولمهايحذفكشثت", "योजनासभीकार्य", "スケジュラはキを空にする", "스케줄러가큐를비운다", "ตารางนจะล้คิว"):
+        text = " ".join("".join(dice.choice(letters) for _ in range(dice.randint(2, 7))) for _ in range(600))
+        one, other = "x " + text, text[11:]
+        chunks = []
+        for t in (one, other):
+            (_, whole, starts, at, _), = E._pieces([t])
+            b = E._bounds(0, len(t), at)
+            chunks.append({whole[s:e] for s, e in zip(b[:-1], b[1:])})
+        assert len(chunks[0]) > 3 and len(chunks[0] & chunks[1]) >= 0.5 * len(chunks[0])
+
+
+def test_filter_goes_by_the_number_of_chunks(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("xxhash64(id) as key", "if(id < 100, 64L, 2L) as n")
+    whole = E._filter(rows)
+    assert len(whole) * 8 >= 5000 * E.BITS_A_KEY
+    held = lambda bits, k: all(bits[h >> 3] >> (h & 7) & 1 for h in ((r["key"] % (1 << 64)) % (len(bits) * 8) for r in k.collect()))
+    assert held(whole, rows)
+    monkeypatch.setattr(E, "MOST_BITS", 1 << 16)
+    few = E._filter(rows)
+    assert len(few) * 8 <= 1 << 16 and held(few, rows.where("n = 64"))
+
+
+def test_hot_chunks_are_joined_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(E, "HOT", 3)
+    test_corpus_with_shared_chunks(spark)
 
 
 def test_corpus_with_shared_chunks(spark):
