@@ -3,8 +3,9 @@
 Method: the cost of a sequence is linear in its tokens plus quadratic in the
 tokens of each document (attention stays within a document).  Documents go, in
 descending size, to the sequence of lowest cost that has room.  Documents are
-dealt to shards by the hash of their id, each shard is packed by one task, and
-the sequences a shard could not fill are emptied and packed again together.
+dealt to shards by the hash of their id and each shard is packed by one task.
+The sequences a shard could not fill are emptied, dealt to new, fewer shards of
+the same size and packed again, for as long as that saves sequences.
 """
 
 from __future__ import annotations
@@ -19,7 +20,6 @@ from memloom.llm.workers import grouped
 from memloom.sources.shared import materialize
 
 SHARD = 50_000  # documents packed by one task
-AGAIN = 256  # shards whose unfilled sequences are packed together
 FULL = 0.97
 MOST_BUDGETS = 1000
 LINEAR, QUADRATIC = 1.0, 1.0 / 2048
@@ -62,6 +62,33 @@ def _pack(level: int):
     return run
 
 
+def _rounds(rest: DataFrame, schema: str, shard_rows: int) -> DataFrame:
+    """``rest`` packed: rows of full sequences leave after each round, the others go round again."""
+    done, before, level = [], {}, 1
+    full = F.col("fill") >= FULL * F.col("capacity")
+    while True:
+        # A row per budget, of which there is a handful.
+        n = {r["budget_id"]: r["n"] for r in rest.groupBy("budget_id").agg(F.count("*").alias("n")).collect()}
+        if not n:
+            break
+        shards = F.coalesce(*[F.when(F.col("budget_id") == F.lit(b), F.lit(max(1, -(-k // shard_rows)))) for b, k in n.items()])
+        dealt = rest.withColumn("shard", F.pmod(F.xxhash64("id", "piece", F.lit(level)), shards))
+        packed = materialize(dealt.repartition("budget_id", "shard").groupBy("budget_id", "shard").applyInPandas(grouped(_pack(level)), schema), "packed")
+        used = {r["budget_id"]: r["n"] for r in packed.where(~full).groupBy("budget_id").agg(F.count_distinct("container").alias("n")).collect()}
+        done.append(packed.where(full))
+        # One shard can't be mixed any further, and a budget whose sequences became no fewer won't.
+        again = [b for b, k in used.items() if n[b] > shard_rows and k < before.get(b, k + 1)]
+        loose = packed.where(~full)
+        done.append(loose.where(~F.col("budget_id").isin(again)) if again else loose)
+        if not again:
+            break
+        rest, before, level = loose.where(F.col("budget_id").isin(again)).drop("container", "fill"), used, level + 1
+    out = done[0] if done else None
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def pack(sized: DataFrame, budgets: DataFrame, item: str, shard_rows: int = SHARD) -> DataFrame:
     """``(budget_id, capacity, container, item, piece, start, n_tokens)`` for every budget.
 
@@ -71,8 +98,8 @@ def pack(sized: DataFrame, budgets: DataFrame, item: str, shard_rows: int = SHAR
     Texts of no tokens (null or empty) need no room and are left out, as are null
     ids and budgets whose capacity is null or below one.
     """
-    docs = sized.select(F.col(item).alias("id"), F.col("n").cast("long").alias("n")).where("id is not null and n > 0")
-    shards = max(1, -(-docs.count() // shard_rows))
+    # Read several times below; a row of two numbers beside the text it stands for.
+    docs = materialize(sized.select(F.col(item).alias("id"), F.col("n").cast("long").alias("n")).where("id is not null and n > 0"), "sized")
     plans = budgets.where("budget_id is not null and capacity_tokens >= 1").select("budget_id", F.col("capacity_tokens").cast("long").alias("capacity")).distinct()
     # Every text is set against every budget by definition; there are a handful, which become a literal.
     told = plans.limit(MOST_BUDGETS + 1).collect()
@@ -88,13 +115,11 @@ def pack(sized: DataFrame, budgets: DataFrame, item: str, shard_rows: int = SHAR
     )
     rest = each.where("n % capacity > 0").select(
         "budget_id", "capacity", "id", whole.alias("piece"), (whole * F.col("capacity")).alias("start"), (F.col("n") % F.col("capacity")).alias("n_tokens"),
-        F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"),
+        F.lit(0).cast("long").alias("shard"),
     )
     kind = dict(docs.dtypes)["id"]
     schema = f"budget_id {dict(plans.dtypes)['budget_id']}, capacity long, id {kind}, piece long, start long, n_tokens long, shard long, container string, fill long"
-    first = materialize(rest.repartition("budget_id", "shard").groupBy("budget_id", "shard").applyInPandas(grouped(_pack(1)), schema), "packed")
-    loose = first.where(F.col("fill") < FULL * F.col("capacity")).drop("container", "fill").withColumn("shard", F.floor(F.col("shard") / AGAIN).cast("long"))
-    second = loose.groupBy("budget_id", "shard").applyInPandas(grouped(_pack(2)), schema)
     columns = ["budget_id", "capacity", "container", "id", "piece", "start", "n_tokens"]
-    packed = first.where(F.col("fill") >= FULL * F.col("capacity")).select(columns).unionByName(second.select(columns)).unionByName(full.select(columns))
-    return packed.withColumnRenamed("id", item)
+    packed = _rounds(rest, schema, shard_rows)
+    out = full.select(columns) if packed is None else full.select(columns).unionByName(packed.select(columns))
+    return out.withColumnRenamed("id", item)
