@@ -24,32 +24,45 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n_per_group(rows, "query_id", "score", "node_id", 10).select("query_id", "node_id")
 
 
-P5_SQL = """
-select query_id, node_id from (
-  select query_id, node_id, row_number() over (partition by query_id order by max(score) desc, node_id) r
+def p5_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``p5_found`` with their scores and exact positions."""
+    return top_n_per_group(_table(spark, sf_dir, "retrieve_results"), "query_id", "score", "node_id", 10).select("query_id", "node_id", "score", F.col("position").cast("bigint").alias("position"))
+
+
+P5_BODY = """ from (
+  select query_id, node_id, max(score) score, row_number() over (partition by query_id order by max(score) desc, node_id) r
   from retrieve_results
   where query_id is not null and node_id is not null and score is not null and not isnan(score)
   group by query_id, node_id
 ) where r <= 10
 """
+P5_SQL = "select query_id, node_id" + P5_BODY
+P5_POSITIONS_SQL = "select query_id, node_id, score, r as position" + P5_BODY
 
 
-def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p2_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of ``p2_found`` with the sessions holding both, each and any, and the lift over chance."""
     rows = _table(spark, sf_dir, "observations").select("session_id", F.explode_outer("tags").alias("tag"))
     pairs = pair_lift(rows.select("session_id", clean_tag(F.col("tag")).alias("tag")), "session_id", "tag")
-    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"))
+    return pairs.select(F.col("item_a").alias("tag_a"), F.col("item_b").alias("tag_b"), "n_ab", "n_a", "n_b", F.col("baskets").alias("sessions"), F.round("lift", 6).alias("lift"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p2_pairs(spark, sf_dir).select("tag_a", "tag_b")
 
 
-P2_SQL = """
+P2_BODY = """
 with raw as (select session_id, unnest(case when len(tags) > 0 then tags else [null] end) t from observations where session_id is not null),
 tagged as (select distinct session_id, trim(regexp_replace(lower(trim(t)), '^#', '')) t from raw where t is not null),
 clean as (select * from tagged where t <> ''),
 s as (select count(distinct session_id) s from observations),
 n as (select t, count(*) n from clean group by t),
 xy as (select a.t ta, b.t tb, count(*) nxy from clean a join clean b on a.session_id = b.session_id and a.t < b.t group by 1, 2)
-select ta as tag_a, tb as tag_b from xy join n na on na.t = ta join n nb on nb.t = tb cross join s
+{} from xy join n na on na.t = ta join n nb on nb.t = tb cross join s
 where nxy >= 6 and nxy >= 0.005 * s and nxy * s >= 4.0 * na.n * nb.n
 """
+P2_SQL = P2_BODY.replace("{}", "select ta as tag_a, tb as tag_b")
+P2_PAIRS_SQL = P2_BODY.replace("{}", "select ta as tag_a, tb as tag_b, nxy as n_ab, na.n as n_a, nb.n as n_b, s as sessions, round(nxy * s::double / (na.n * nb.n), 6) as lift")
 
 
 def p3_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -178,8 +191,8 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_scores(spark, sf_dir).where("is_spam").select("doc_id")
 
 
-QUERIES = {"p6_found": p6_found, "p6_origins": p6_origins, "p6_hits": p6_hits, "p9_found": p9_found, "p9_scores": p9_scores, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found}
-ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL}
+QUERIES = {"p6_found": p6_found, "p6_origins": p6_origins, "p6_hits": p6_hits, "p9_found": p9_found, "p9_scores": p9_scores, "p7_ids": p7_ids, "p8_packed": p8_packed, "p8_fill": p8_fill, "p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p4_clusters": p4_clusters, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_similar": p3_similar, "p5_found": p5_found, "p5_positions": p5_positions}
+ORACLES = {"p1_found": P1_SQL, "p1_groups": P1_GROUPS_SQL, "p4_found": P4_SQL, "p2_found": P2_SQL, "p2_pairs": P2_PAIRS_SQL, "p3_found": P3_SQL, "p3_similar": P3_SIMILAR_SQL, "p5_found": P5_SQL, "p5_positions": P5_POSITIONS_SQL}
 
 
 def queries():
