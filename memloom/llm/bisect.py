@@ -5,9 +5,11 @@ two across the cluster, with centres fitted on a bounded sample of the node;
 below that a node fits one task, which goes on splitting its part of largest
 dispersion until each leaf is compact or small.  A compact leaf has an angular
 radius of at most half the link angle, so by the triangle inequality all its
-members are linked and it acts as one unit.  Exact products between blocks of
-members, skipped where centres and radii rule a link out, join units that touch;
-the components of units are the clusters.
+members are linked and it acts as one unit.  The nodes are the tiles of what is
+left to compare: pairs of nodes whose centres and radii rule a link out are
+dropped before anything is shipped, and so are blocks of members within a pair.
+Exact products of the rest join units that touch; the components of units are
+the clusters.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from memloom.llm.vectors import BLOCK, spread, tiled, vector_classes
+from memloom.llm.vectors import BLOCK, spread, vector_classes
 from memloom.llm.workers import batched, grouped
 from memloom.operators.components import connected_components
 from memloom.sources.shared import materialize
@@ -28,7 +30,7 @@ from memloom.sources.small import join_small
 NODE = 16384  # rows of a node that one task splits on
 SAMPLE = 2048  # rows the two centres of a larger node are fitted on; every row is then assigned
 SMALL = 48  # a leaf this small is not split further; its members are compared one by one
-ROUNDS = 24  # cluster-wide splits; what is still larger then is cut by hash, which only costs time
+SIDE = 0.1  # share of a node's sample that each side of a cluster-wide split gets at least, so that splitting ends
 
 
 def _units(rows: pd.Series) -> np.ndarray:
@@ -86,21 +88,29 @@ def bisect(u: np.ndarray, radius: float, small: int = SMALL) -> list[tuple[np.nd
 
 
 def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    c = two_means(_units(pdf["raw"])).astype(np.float32)
-    return pd.DataFrame({"node": [pdf["node"].iloc[0]], "c0": [c[0].tobytes()], "c1": [c[1].tobytes()]})
+    """The two centres of a node and where between them it is cut; no centres where its rows have but one direction."""
+    u = _units(pdf["raw"])
+    c = two_means(u).astype(np.float32).astype(np.float64)
+    away = u @ c[1] - u @ c[0]
+    at = 0.0
+    if not SIDE <= (away > 0).mean() <= 1 - SIDE:
+        at = float(np.median(away))
+    if not SIDE <= (away > at).mean() <= 1 - SIDE:
+        return pd.DataFrame({"node": [pdf["node"].iloc[0]], "c0": [None], "c1": [None], "at": [0.0]})
+    return pd.DataFrame({"node": [pdf["node"].iloc[0]], "c0": [c[0].astype(np.float32).tobytes()], "c1": [c[1].astype(np.float32).tobytes()], "at": [at]})
 
 
 def _assign(it):
     for pdf in it:
         if not len(pdf):
             continue
-        to, has = np.zeros(len(pdf), np.int64), pdf["c0"].notna().to_numpy()
+        side, has = pdf["coin"].to_numpy() > 0, pdf["c0"].notna().to_numpy()
         if has.any():
             part = pdf[has]
             u = _units(part["raw"])
-            c0, c1 = _units(part["c0"]), _units(part["c1"])
-            to[has] = 1 + ((u * c1).sum(1) > (u * c0).sum(1))
-        pdf["node"] = np.where(to == 0, pdf["node"], pdf["node"] + np.where(to == 1, "0", "1"))
+            c0, c1 = (np.frombuffer(b"".join(part[k]), np.float32).reshape(len(part), -1).astype(np.float64) for k in ("c0", "c1"))
+            side[has] = (u * c1).sum(1) - (u * c0).sum(1) > part["at"].to_numpy()
+        pdf["node"] = pdf["node"] + np.where(side, "1", "0")
         yield pdf[["grp", "cls", "raw", "head", "node"]]
 
 
@@ -114,28 +124,56 @@ def _leaves(radius: float):
             leaf[rows] = first
             if compact:
                 unit[rows] = first
-        return pd.DataFrame({"grp": pdf["grp"], "cls": pdf["cls"], "raw": pdf["raw"], "head": heads, "leaf": leaf, "unit": unit})
+        # Centre and radius of the node stand in its first row.
+        m = u.sum(0)
+        m /= max(np.sqrt(m @ m), 1e-12)
+        centre = np.full(len(pdf), None, object)
+        centre[0] = m.tobytes()
+        reach = np.full(len(pdf), math.acos(min(1.0, max(-1.0, float((u @ m).min())))) + 1e-9)
+        return pd.DataFrame({"grp": pdf["grp"], "cls": pdf["cls"], "raw": pdf["raw"], "head": heads, "node": pdf["node"], "leaf": leaf, "unit": unit, "centre": centre, "reach": reach})
 
     return run
 
 
 def bisecting_leaves(classes: DataFrame, radius: float, node: int = NODE) -> DataFrame:
-    """(grp, cls, raw, head, leaf, unit) of every vector class; a unit is a compact leaf or a single class."""
+    """(grp, cls, raw, head, node, leaf, unit, centre, reach) of every vector class; a unit is a compact leaf or a single class."""
     schema = "grp string, cls binary, raw binary, head string, node string"
     rows = classes.select("grp", "cls", "raw", "head", F.concat("grp", F.lit("/")).alias("node"))
-    for _ in range(ROUNDS):
+    small = None
+    while True:
         # At most rows / node nodes are that large, and a sample of each goes to a task of its own.
-        large = rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node)
+        large = materialize(rows.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > node), "large")
+        done = join_small(rows, large, "node", "left_anti")
+        small = done if small is None else small.unionByName(done)
         if not large.limit(1).count():
             break
+        # Only the rows of nodes that are still too large are written again.
         marked = join_small(rows, large, "node", "inner")
         sample = marked.where(F.pmod(F.xxhash64("cls", F.lit(7)), F.col("n")) < 2 * SAMPLE)
         drawn = sample.withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy("cls"))).where(F.col("r") <= SAMPLE)
-        centres = drawn.groupBy("node").applyInPandas(grouped(_fit), "node string, c0 binary, c1 binary")
-        rows = materialize(join_small(rows, materialize(centres, "centres"), "node").mapInPandas(batched(_assign), schema), "nodes")
-    over = rows.groupBy("node").agg(F.ceil(F.count("*") / node).alias("cuts")).where(F.col("cuts") > 1)
-    rows = join_small(rows, over, "node").withColumn("node", F.concat_ws("#", "node", F.pmod(F.xxhash64("cls"), F.col("cuts")).cast("string")))
-    return spread(rows.select("grp", "cls", "raw", "head", "node"), "node").groupBy("node").applyInPandas(grouped(_leaves(radius)), "grp string, cls binary, raw binary, head string, leaf string, unit string")
+        centres = materialize(drawn.groupBy("node").applyInPandas(grouped(_fit), "node string, c0 binary, c1 binary, at double"), "centres")
+        coined = marked.drop("n").withColumn("coin", F.pmod(F.xxhash64("cls", "node"), F.lit(2)).cast("int"))
+        rows = materialize(join_small(coined, centres, "node").mapInPandas(batched(_assign), schema), "nodes")
+    return spread(small, "node").groupBy("node").applyInPandas(
+        grouped(_leaves(radius)), "grp string, cls binary, raw binary, head string, node string, leaf string, unit string, centre binary, reach double"
+    )
+
+
+def node_pairs(leaves: DataFrame, least: float) -> DataFrame:
+    """(pair, grp, lo, hi): the pairs of nodes of a group, a node with itself among them, between which centres and radii leave room for a link."""
+    nodes = materialize(leaves.where("centre is not null").select("grp", "node", "centre", "reach"), "tree")
+    angle = math.acos(least) + 1e-6
+
+    def near(it):
+        for pdf in it:
+            if len(pdf):
+                a, b = (np.frombuffer(b"".join(pdf[k]), np.float64).reshape(len(pdf), -1) for k in ("centre", "other"))
+                apart = np.arccos(np.clip((a * b).sum(1), -1, 1)) - pdf["reach"] - pdf["far"]
+                yield pdf.loc[(apart <= angle) | (pdf["lo"] == pdf["hi"]), ["grp", "lo", "hi"]]
+
+    other = nodes.select("grp", F.col("node").alias("hi"), F.col("centre").alias("other"), F.col("reach").alias("far"))
+    pairs = nodes.withColumnRenamed("node", "lo").join(other, "grp").where("lo <= hi").mapInPandas(near, "grp string, lo string, hi string")
+    return materialize(pairs.withColumn("pair", F.monotonically_increasing_id()), "pairs")
 
 
 def _touching(least: float):
@@ -149,9 +187,9 @@ def _touching(least: float):
             yield i, part, m, math.acos(min(1.0, max(-1.0, float((part @ m).min()))))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         pdf = pdf.sort_values(["leaf", "unit"])
-        a, b = pdf[pdf["own"] == lo], pdf[pdf["own"] == hi]
+        a, b = pdf[pdf["node"] == lo], pdf[pdf["node"] == hi]
         if not len(a) or not len(b):
             return pd.DataFrame({"src": [], "dst": []}, dtype=object)
         ua, ub = _units(a["raw"]), _units(b["raw"])
@@ -196,7 +234,7 @@ def _touching(least: float):
     return run
 
 
-def similarity_clusters(df: DataFrame, group, item: str, vector: str, least: float = 0.8, smallest: int = 8, dim: int = 64, node: int = NODE, tile: int = NODE) -> DataFrame:
+def similarity_clusters(df: DataFrame, group, item: str, vector: str, least: float = 0.8, smallest: int = 8, dim: int = 64, node: int = NODE) -> DataFrame:
     """``(grp, id, cluster, size)`` of the members of clusters with ``smallest`` members or more.
 
     Two vectors of a group are linked at a cosine (double precision, six
@@ -208,8 +246,10 @@ def similarity_clusters(df: DataFrame, group, item: str, vector: str, least: flo
     members, classes = vector_classes(df, group, item, vector, dim, 1)
     members, classes = materialize(members, "members"), materialize(classes, "classes")
     leaves = materialize(bisecting_leaves(classes, math.acos(least) / 2, node), "leaves")
-    keys = ["grp", "lo", "hi"]
-    links = spread(tiled(leaves, tile), *keys).groupBy(*keys).applyInPandas(grouped(_touching(least)), "src string, dst string")
+    pairs = node_pairs(leaves, least)
+    ends = pairs.select("pair", "lo", "hi", F.explode(F.array_distinct(F.array("lo", "hi"))).alias("node"))
+    placed = leaves.select("node", "raw", "leaf", "unit").join(ends, "node")
+    links = spread(placed, "pair").groupBy("pair").applyInPandas(grouped(_touching(least)), "src string, dst string")
     components = connected_components(links)
     named = leaves.select("cls", "unit").join(components.withColumnRenamed("node", "unit"), "unit", "left").select("cls", F.coalesce("component", "unit").alias("c"))
     placed = members.join(named, "cls")

@@ -102,15 +102,17 @@ def _tile_candidates(k: int, least: float, dense: int):
         sides = []
         for tile in dict.fromkeys((lo, hi)):
             p = pdf[pdf["own"] == tile]
-            # Products of int8 numbers of 64 dimensions stay below 2^24, so float32 multiplies them exactly.
-            q = np.frombuffer(b"".join(p["q"]), np.int8).reshape(len(p), -1).astype(np.float32) if len(p) else np.zeros((0, 1), np.float32)
+            q = np.frombuffer(b"".join(p["q"]), np.int8).reshape(len(p), -1) if len(p) else np.zeros((0, 1), np.int8)
+            # A product is at most 127 * 127 * dimensions: below 2^24 float32 has it exactly, whatever the order of addition, and float64 beyond.
+            q = q.astype(np.float32 if 127 * 127 * q.shape[1] < 1 << 24 else np.float64)
             sides.append((q, p["step"].to_numpy(np.float64), p["err"].to_numpy(np.float64), p["cid"].to_numpy()))
         rows, partners = [], []
         for x, y in [(0, 0)] if lo == hi else [(0, 1), (1, 0)]:
             (qx, sx, ex, cx), (qy, sy, ey, cy) = sides[x], sides[y]
             if not len(qx) or not len(qy):
                 continue
-            # |u.w - u'.w'| <= |e||w'| + |u'||f| + |e||f|, and |u'| <= 1 + |e|; 1e-5 is float32's part.
+            # |u.w - u'.w'| <= |e||w'| + |u'||f| + |e||f|, and |u'| <= 1 + |e|; scaling an exact
+            # product of at most (1 + |e|)(1 + |f|) twice in float32 errs by less than 1e-6, for which 1e-5 stands.
             f = float(ey.max())
             eps = (ex * (1 + f) + f * (1 + ex) + ex * f + 1e-5).astype(np.float32)
             wide = np.zeros(len(qy), bool)

@@ -2,8 +2,8 @@ from collections import defaultdict
 
 import numpy as np
 
-from memloom.llm.bisect import bisect, describe_clusters, similarity_clusters
-from memloom.llm.vectors import most_similar
+from memloom.llm.bisect import bisect, bisecting_leaves, describe_clusters, node_pairs, similarity_clusters
+from memloom.llm.vectors import most_similar, vector_classes
 
 SCHEMA = "grp string, obs string, vec array<float>, sim double"
 
@@ -73,13 +73,39 @@ def test_clusters_match_closure_by_brute_force(spark):
         groups[find(a)].append(a)
     want = {(a, min(m), len(m)) for m in groups.values() if len(m) >= 8 for a in m}
     df = spark.createDataFrame(rows, SCHEMA)
-    for node, tile in ((24, 16), (16384, 16384)):
-        found = similarity_clusters(df, "grp", "obs", "vec", 0.8, 8, 16, node, tile)
+    for node in (9, 24, 16384):
+        found = similarity_clusters(df, "grp", "obs", "vec", 0.8, 8, 16, node)
         assert {(r["id"], r["cluster"], r["size"]) for r in found.collect()} == want
     told = describe_clusters(found, df, "obs", "vec", 3, 16).collect()
     assert {(r["cluster"], r["size"]) for r in told} == {(c, n) for _, c, n in want} and all(len(r["typical"]) == 3 for r in told)
 
 
+def test_far_nodes_are_dropped_before_they_are_compared(spark):
+    rng = np.random.default_rng(6)
+    centres = np.linalg.qr(rng.normal(size=(16, 8)))[0].T
+    rows = [("a", f"o{i:04d}", [float(x) for x in centres[i % 8] + rng.normal(size=16) * 0.03], 0.0) for i in range(400)]
+    rows += [("a", f"r{i:04d}", [float(x * (i + 1)) for x in centres[0]], 0.0) for i in range(90)]  # one direction, many lengths
+    df = spark.createDataFrame(rows, SCHEMA)
+    _, classes = vector_classes(df, "grp", "obs", "vec", 16, 1)
+    leaves = bisecting_leaves(classes, np.arccos(0.8) / 2, 40).toPandas()
+    assert len(leaves) == classes.count() and leaves.groupby("node").size().max() <= 40
+    pairs = node_pairs(spark.createDataFrame(leaves), 0.8).toPandas()
+    nodes = leaves["node"].nunique()
+    assert nodes <= len(pairs) < nodes * (nodes + 1) / 4
+    found = similarity_clusters(df, "grp", "obs", "vec", 0.8, 8, 16, 40).toPandas()
+    assert found["cluster"].nunique() == 8 and len(found) == 490
+
+
+def test_many_dimensions_are_exact(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 1500))
+    rows = [("a", f"o{i:02d}", [float(np.float32(x)) for x in base[i % 4] + rng.normal(size=1500) * 0.4], 0.0) for i in range(24)]
+    u = {o: np.array(v) / np.linalg.norm(v) for _, o, v, _ in rows}
+    want = {(a, b, round(float(u[a] @ u[b]), 6)) for a in u for b in sorted((b for b in u if b != a), key=lambda b: (-round(float(u[a] @ u[b]), 6), b))[:3] if u[a] @ u[b] >= 0.8}
+    got = {(r["id"], r["similar"], r["sim"]) for r in most_similar(spark.createDataFrame(rows, SCHEMA), "grp", "obs", "vec", 3, 0.8, 1500).collect()}
+    assert got == want and want
+
+
 def test_bisect_leaves_are_compact_or_small():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(300, 8)), rng.normal(size=(1, 8)) + rng.normal(size=(200, 8)) * 0.05, np.ones((90, 8))])
