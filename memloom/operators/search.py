@@ -6,54 +6,59 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-QUERY_BLOCK = 20_000  # query vectors sent to every task at a time: 10 MB at 64 numbers
+from memloom.sources.shared import materialize
+from memloom.sources.small import join_small
 
+QUERY_TILE, CORPUS_TILE = 2048, 16_384  # rows of a space that meet in one task
+BLOCK = 256  # queries multiplied at a time: 32 MB of products
 
-def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, least: float = -1.0) -> DataFrame:
-    """``(query_id, node_id, sim, rank)``: the ``k`` most similar of the same space, ties by node_id.
 
-    Both frames are (space_id, id, vec) with vectors of one length.  The corpus is
-    never moved: each partition multiplies its rows with a block of queries of
-    bounded size and passes on ``k`` rows per query; more queries make more
-    blocks.  A query does not find itself.
-    """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    parts = []
-    for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).toPandas() if total else queries.limit(0).toPandas()
-        if not len(part) and b:
-            continue
-        vec = np.stack(part["vec"].to_numpy()).astype(np.float64) if len(part) else np.zeros((0, 1))
-        sent = queries.sparkSession.sparkContext.broadcast((part["id"].to_numpy(), part["space_id"].to_numpy(), vec))
+def _nearest(k: int, least: float):
+    def run(key, asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(asked) or not len(rows):
+            return pd.DataFrame({"query_id": [], "node_id": [], "sim": []}, dtype=object)
+        q, x = (np.stack(p["vec"].to_numpy()).astype(np.float64) for p in (asked, rows))
+        q, x = (y / np.sqrt((y * y).sum(1))[:, None] for y in (q, x))
+        ids, names = asked["id"].to_numpy(), rows["id"].to_numpy()
+        rank = np.argsort(np.argsort(names, kind="stable"), kind="stable")
+        place = {n: i for i, n in enumerate(names)}
+        self_at = np.array([place.get(i, -1) for i in ids])
+        out = []
+        for i in range(0, len(q), BLOCK):
+            s = np.round(q[i : i + BLOCK] @ x.T + 1e-9, 6)
+            mine = np.flatnonzero(self_at[i : i + BLOCK] >= 0)
+            s[mine, self_at[i : i + BLOCK][mine]] = -2
+            low = np.full(len(s), max(least, -1.0))
+            if s.shape[1] > k:
+                low = np.maximum(low, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
+            r, c = np.nonzero(s >= low[:, None])
+            order = np.lexsort((rank[c], -s[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            out.append(pd.DataFrame({"query_id": ids[i + r[first]], "node_id": names[c[first]], "sim": s[r[first], c[first]]}))
+        return pd.concat(out, ignore_index=True)
+
+    return run
 
-        def run(batches, sent=sent):
-            ids, spaces, q = sent.value
-            if not len(ids):
-                return
-            unit_q = q / np.sqrt((q * q).sum(1))[:, None]
-            by = {s: np.flatnonzero(spaces == s) for s in pd.unique(spaces)}
-            for pdf in batches:
-                for space, rows in pdf.groupby("space_id"):
-                    at = by.get(space)
-                    if at is None:
-                        continue
-                    x = np.stack(rows["vec"].to_numpy()).astype(np.float64)
-                    x /= np.sqrt((x * x).sum(1))[:, None]
-                    names = rows["id"].to_numpy()
-                    order = np.argsort(names)
-                    names, x = names[order], x[order]
-                    s = np.round(unit_q[at] @ x.T + 1e-9, 6)
-                    s[names[None, :] == ids[at][:, None]] = -2
-                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                    sim = np.take_along_axis(s, top, 1)
-                    keep = sim >= max(least, -1.0)
-                    yield pd.DataFrame({"query_id": np.repeat(ids[at], top.shape[1])[keep.ravel()], "node_id": names[top.ravel()][keep.ravel()], "sim": sim.ravel()[keep.ravel()]})
 
-        parts.append(corpus.mapInPandas(run, "query_id string, node_id string, sim double"))
-    local = parts[0]
-    for p in parts[1:]:
-        local = local.unionByName(p)
+def vector_top_k(queries: DataFrame, corpus: DataFrame, k: int = 20, least: float = -1.0, query_tile: int = QUERY_TILE, corpus_tile: int = CORPUS_TILE) -> DataFrame:
+    """``(query_id, node_id, sim, rank)``: the ``k`` most similar of the same space, ties by node_id.
+
+    Both frames are (space_id, id, vec) with vectors of one length.  Queries and
+    corpus of a space are cut into tiles, each pair of which meets in one task and
+    passes on ``k`` rows per query; a space without queries does not move.  A query
+    does not find itself.
+    """
+    sizes = lambda df, tile, name: df.groupBy("space_id").agg(F.ceil(F.count("*") / tile).cast("int").alias(name))
+    # A row per space that is asked.
+    cut = materialize(sizes(queries, query_tile, "qs").join(sizes(corpus, corpus_tile, "cs"), "space_id"), "tiles")
+    asked = join_small(queries.select("space_id", "id", "vec"), cut, "space_id", "inner").select(
+        F.col("space_id").alias("g"), F.pmod(F.xxhash64("id"), "qs").cast("int").alias("q"), F.explode(F.sequence(F.lit(0), F.col("cs") - 1)).alias("c"), F.col("id").alias("id"), F.col("vec").alias("vec")
+    )
+    rows = join_small(corpus.select("space_id", "id", "vec"), cut, "space_id", "inner").select(
+        F.col("space_id").alias("space"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qt"), F.pmod(F.xxhash64("id"), "cs").cast("int").alias("ct"), F.col("id").alias("id"), F.col("vec").alias("vec")
+    )
+    local = asked.groupBy("g", "q", "c").cogroup(rows.groupBy("space", "qt", "ct")).applyInPandas(_nearest(k, least), "query_id string, node_id string, sim double")
     ranked = local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node_id")))
     return ranked.where(F.col("rank") <= k)
 
