@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import functions as F
@@ -32,10 +33,12 @@ def _nudged(sql: str) -> str:
 
 
 def query(name: str, sql: str | None = None):
+    """Registers a query; ``@other@`` in its statement stands for the statement of another query."""
+
     def add(run: Callable) -> Callable:
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = _nudged(sql)
+            ORACLES[name] = re.sub(r"@(\w+)@", lambda m: f"({ORACLES[m[1]]})", _nudged(sql))
         return run
 
     return add

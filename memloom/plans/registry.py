@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from memloom.plans import base, code, extras, graph, learning, live, memory, overview, retrieval, stats, streams, text, transfer  # noqa: F401
+from memloom.plans import base, code, extras, graph, learning, live, memory, overview, retrieval, stats, streams, text, transfer, lifecycle  # noqa: F401
 
 
 def flagship(spark, sf_dir):
