@@ -9,9 +9,13 @@ The root of the tree routes by rare groups: with the groups of every record in
 one order, rarest first, two records that reach the threshold must meet in one
 of their first ``n - ceil(t * n) + 1`` groups, so a subtree holds the points that
 have a group in that prefix, and only points of one subtree are compared.  A
-subtree is packed into pages sorted by size and coordinates; a subtree with very
-many rows is cut into tiles that are joined in pairs by different tasks.  What
-survives is compared word for word, and groups are closed over the matches.
+subtree is packed bottom-up: its rows, sorted by size and coordinates, into pages,
+pages into nodes of as many, and so on up to one root, each with the upper corner
+and the range of sizes of what is below.  It is joined with itself from the root
+down, and only pairs of boxes whose bound reaches the needed overlap are opened.
+A subtree with very many rows is cut into tiles that are joined in pairs by
+different tasks.  What survives is compared word for word, and groups are closed
+over the matches.
 """
 
 from __future__ import annotations
@@ -30,9 +34,9 @@ from memloom.operators.components import connected_components
 from memloom.sources.shared import materialize
 from memloom.sources.small import join_small
 
-GROUPS = 1 << 18  # fine groups; their frequencies are a table of this fixed size
+GROUPS, MOST_GROUPS = 1 << 18, 1 << 22  # fine groups, as many as records within these bounds; their frequencies are a table of 32 MB at most
 DIMS = 128  # coordinates of a point, four bits each
-PAGE = 16
+PAGE = 16  # rows of a page, pages of a node, nodes of a node above
 TILE = 8192
 PAIRS = 1 << 16  # row pairs compared at a time: three arrays of 8 MB
 
@@ -44,15 +48,18 @@ def _needed(a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
     return -((-num * (a + b)) // den)
 
 
-def _frequencies(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(GROUPS, np.int64)
-    for b in it:
-        words = b.column("words")
-        flat = words.flatten().to_numpy(zero_copy_only=False) & (GROUPS - 1)
-        row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
-        total += np.bincount(np.unique(row * GROUPS + flat) & (GROUPS - 1), minlength=GROUPS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
+def _frequencies(groups: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(groups, np.int64)
+        for b in it:
+            words = b.column("words")
+            flat = words.flatten().to_numpy(zero_copy_only=False) & (groups - 1)
+            row = np.repeat(np.arange(len(words)), np.diff(words.offsets.to_numpy()))
+            total += np.bincount(np.unique(row * groups + flat) & (groups - 1), minlength=groups)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["g", "n"])
+
+    return run
 
 
 def _route(frequency, t: Fraction):
@@ -63,7 +70,7 @@ def _route(frequency, t: Fraction):
             sizes = np.diff(words.offsets.to_numpy()).astype(np.int64)
             flat = words.flatten().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            g = flat & (GROUPS - 1)
+            g = flat & (len(often) - 1)
             point = np.zeros((len(sizes), DIMS), np.int32)
             np.add.at(point, (row, (flat >> 40) & (DIMS - 1)), 1)
             point = np.minimum(point, 15).astype(np.uint8)
@@ -95,60 +102,78 @@ def _pairs_of(na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return i, k // nb[i], k % nb[i]
 
 
-def _join_subtrees(t: Fraction):
-    def pages(run: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """First rows of pages: PAGE rows of one run and one side, in order."""
-        change = np.r_[True, (run[1:] != run[:-1]) | (own[1:] != own[:-1])]
-        first = np.maximum.accumulate(np.where(change, np.arange(len(run)), 0))
-        return np.flatnonzero((np.arange(len(run)) - first) % PAGE == 0)
+def _levels(run: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
+    """First rows of the boxes of each level, pages first and at last one root for each run and side; rows lie in order."""
+    first = np.arange(len(run))
+    levels = []
+    while True:
+        r, o = run[first], own[first]
+        change = np.r_[True, (r[1:] != r[:-1]) | (o[1:] != o[:-1])]
+        begin = np.maximum.accumulate(np.where(change, np.arange(len(first)), 0))
+        first = first[(np.arange(len(first)) - begin) % PAGE == 0]
+        levels.append(first)
+        if len(first) == change.sum():
+            return levels
+
 
+def _join_subtrees(t: Fraction):
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """Pairs of the whole runs in ``pdf``, which is sorted by run, side, size and point."""
-        run, own = pdf["run"].to_numpy(), pdf["own"].to_numpy()
+        run, own = pdf["run"].to_numpy(), (pdf["own"] != pdf["lo"]).to_numpy()
         size, place = pdf["size"].to_numpy(np.int64), pdf["place"].to_numpy(np.int64)
         packed = np.frombuffer(b"".join(pdf["point"]), np.uint8).reshape(len(pdf), -1)
         point = np.empty((len(pdf), DIMS), np.uint8)
         point[:, ::2], point[:, 1::2] = packed & 15, packed >> 4
         over = size - point.sum(1, dtype=np.int64)  # what the four bits could not hold
-        lo, hi = pdf["lo"].to_numpy(), pdf["hi"].to_numpy()
-
-        first = pages(run, own)
-        end = np.r_[first[1:], len(run)]
-        top, most = np.maximum.reduceat(point, first), np.maximum.reduceat(over, first)
-        least_size, most_size = np.minimum.reduceat(size, first), np.maximum.reduceat(size, first)
-        # The pages of a run: from its first page on, the pages of side lo, then those of side hi.
-        page_run = run[first]
-        run_first = np.flatnonzero(np.r_[True, page_run[1:] != page_run[:-1]])
-        n = np.diff(np.r_[run_first, len(first)])
+        levels = _levels(run, own)
+        boxes = [(np.maximum.reduceat(point, f), np.maximum.reduceat(over, f), np.minimum.reduceat(size, f), np.maximum.reduceat(size, f)) for f in levels]
         a_out, b_out = [], []
-        whole = lo[first[run_first]] == hi[first[run_first]]
-        left = np.where(whole, n, np.add.reduceat((own[first] == lo[first]).astype(np.int64), run_first))
-        step = max(1, int(PAIRS // 4 // max(1, int((n * n).max()) if len(n) else 1)))
-        for s in range(0, len(n), step):
-            on = slice(s, s + step)
-            i, x, y = _pairs_of(left[on], np.where(whole[on], n[on], n[on] - left[on]))
-            p = run_first[on][i] + x
-            q = run_first[on][i] + y + np.where(whole[on][i], 0, left[on][i])
-            same = whole[on][i]
-            keep = (~same | (p <= q)) & (np.maximum(most_size[p], 0) * t.denominator >= t.numerator * least_size[q]) & (most_size[q] * t.denominator >= t.numerator * least_size[p])
-            p, q = p[keep], q[keep]
+
+        def open_pairs(level: int, p: np.ndarray, q: np.ndarray) -> None:
+            """Boxes ``p`` and ``q`` of a level, some at a time; those that may hold a match are opened, depth first."""
+            first = levels[level]
+            end = np.r_[first[1:], len(run)]
+            top, most, least, largest = boxes[level]
             for c in range(0, len(p), PAIRS // 4):
-                pp, qq = p[c : c + PAIRS // 4], q[c : c + PAIRS // 4]
-                bound = np.minimum(top[pp], top[qq]).sum(1, dtype=np.int64) + np.minimum(most[pp], most[qq])
-                live = (bound >= _needed(least_size[pp], least_size[qq], t)) & ((pp != qq) | (end[pp] - first[pp] > 1))
-                pp, qq = pp[live], qq[live]
-                for d in range(0, len(pp), PAIRS // (PAGE * PAGE)):
-                    pd_, qd = pp[d : d + PAIRS // (PAGE * PAGE)], qq[d : d + PAIRS // (PAGE * PAGE)]
-                    k, u, v = _pairs_of(end[pd_] - first[pd_], end[qd] - first[qd])
-                    ra, rb = first[pd_][k] + u, first[qd][k] + v
-                    need = _needed(size[ra], size[rb], t)
-                    # The sizes, and the words from the place of the meeting on, limit the overlap as well.
-                    fit = ((ra < rb) | (pd_ != qd)[k]) & (np.minimum(size[ra] - place[ra], size[rb] - place[rb]) >= need)
-                    ra, rb, need = ra[fit], rb[fit], need[fit]
-                    bound = np.minimum(point[ra], point[rb]).sum(1, dtype=np.int64) + np.minimum(over[ra], over[rb])
-                    good = bound >= need
-                    a_out.append(ra[good])
-                    b_out.append(rb[good])
+                x, y = p[c : c + PAIRS // 4], q[c : c + PAIRS // 4]
+                live = (largest[x] * t.denominator >= t.numerator * least[y]) & (largest[y] * t.denominator >= t.numerator * least[x]) & ((x != y) | (end[x] - first[x] > 1))
+                x, y = x[live], y[live]
+                bound = np.minimum(top[x], top[y]).sum(1, dtype=np.int64) + np.minimum(most[x], most[y])
+                live = bound >= _needed(least[x], least[y], t)
+                x, y = x[live], y[live]
+                if not level:
+                    compare_rows(first, end, x, y)
+                    continue
+                kids = np.searchsorted(levels[level - 1], np.r_[first, len(run)])
+                step = PAIRS // (PAGE * PAGE)
+                for d in range(0, len(x), step):
+                    xd, yd = x[d : d + step], y[d : d + step]
+                    i, u, v = _pairs_of(kids[xd + 1] - kids[xd], kids[yd + 1] - kids[yd])
+                    u, v = kids[xd][i] + u, kids[yd][i] + v
+                    once = (xd != yd)[i] | (u <= v)
+                    open_pairs(level - 1, u[once], v[once])
+
+        def compare_rows(first: np.ndarray, end: np.ndarray, p: np.ndarray, q: np.ndarray) -> None:
+            step = PAIRS // (PAGE * PAGE)
+            for d in range(0, len(p), step):
+                x, y = p[d : d + step], q[d : d + step]
+                k, u, v = _pairs_of(end[x] - first[x], end[y] - first[y])
+                ra, rb = first[x][k] + u, first[y][k] + v
+                need = _needed(size[ra], size[rb], t)
+                # The sizes, and the words from the place of the meeting on, limit the overlap as well.
+                fit = ((ra < rb) | (x != y)[k]) & (np.minimum(size[ra] - place[ra], size[rb] - place[rb]) >= need)
+                ra, rb, need = ra[fit], rb[fit], need[fit]
+                good = np.minimum(point[ra], point[rb]).sum(1, dtype=np.int64) + np.minimum(over[ra], over[rb]) >= need
+                a_out.append(ra[good])
+                b_out.append(rb[good])
+
+        # The root of a run is joined with itself, those of two sides with each other.
+        roots = levels[-1]
+        begin = np.flatnonzero(np.r_[True, run[roots][1:] != run[roots][:-1]])
+        sides = np.diff(np.r_[begin, len(roots)])
+        alone = (pdf["lo"] == pdf["hi"]).to_numpy()[roots[begin]]
+        met = alone | (sides == 2)
+        open_pairs(len(levels) - 1, begin[met], np.where(alone, begin, begin + 1)[met])
         if not a_out:
             return pd.DataFrame({"grp": [], "a": [], "b": []}, dtype=object)
         ra, rb = np.concatenate(a_out), np.concatenate(b_out)
@@ -255,9 +280,10 @@ def near_duplicates(df: DataFrame, group: str, item: str, text, threshold: float
     classes = materialize(
         named.groupBy("grp", "cls").agg(F.min("id").alias("head"), F.first("words").alias("words")).withColumn("cid", F.monotonically_increasing_id()), "classes"
     )
-    counted = classes.select("words").mapInArrow(batched(_frequencies), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
-    table = np.zeros(GROUPS, np.int64)
-    seen = counted.toPandas()  # at most GROUPS rows, whatever the collection
+    groups = min(MOST_GROUPS, max(GROUPS, 1 << classes.count().bit_length()))
+    counted = classes.select("words").mapInArrow(batched(_frequencies(groups)), "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    table = np.zeros(groups, np.int64)
+    seen = counted.toPandas()  # at most as many rows, whatever the collection
     table[seen["g"].to_numpy()] = seen["n"].to_numpy()
     frequency = spark.sparkContext.broadcast(table)
     routed = materialize(

@@ -4,9 +4,10 @@ from collections import defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from memloom.llm.neardup import _needed, near_duplicates, pairs_within
+from memloom.llm.neardup import PAGE, _join_subtrees, _levels, _needed, near_duplicates, pairs_within
 
 
 def texts(seed, n, vocabulary):
@@ -102,3 +103,33 @@ def test_meeting_in_one_group_is_not_enough(spark):
     rows = [("s", "a", "one b c d e f g h"), ("s", "b", "one i j k l m n o"), ("s", "c", "p q r s t u v w")]
     df = spark.createDataFrame(rows, "grp string, id string, text string")
     assert {r["size"] for r in near_duplicates(df, "grp", "id", "text").collect()} == {1}
+
+
+def test_tree_of_boxes_loses_no_pair():
+    rng = np.random.default_rng(4)
+    t = Fraction("0.7")
+    rows = []
+    for run, (n, tiles) in enumerate([(1, 1), (700, 1), (900, 2), (2, 2), (40, 1)]):
+        base = rng.integers(0, 3, (12, 128)).astype(np.uint8)
+        for k in range(n):
+            v = base[k % 12].copy()
+            v[rng.integers(0, 128, rng.integers(0, 30))] = rng.integers(0, 3)
+            own = int(rng.integers(0, tiles)) if n > 2 else 0
+            rows.append(("a", run, 0, tiles - 1, own, run * 10_000 + k, v))
+    pdf = pd.DataFrame([(g, r, lo, hi, own, cid, int(v.sum()), 0, (v[::2] | (v[1::2] << 4)).tobytes()) for g, r, lo, hi, own, cid, v in rows], columns=["grp", "g", "lo", "hi", "own", "cid", "size", "place", "point"])
+    pdf["side"] = pdf["own"] != pdf["lo"]
+    pdf = pdf.sort_values(["grp", "g", "lo", "hi", "side", "size", "point"]).drop(columns="side").reset_index(drop=True)
+    got = {(a, b) for out in _join_subtrees(t)(iter([pdf])) for a, b in zip(out["a"], out["b"])}
+    want = set()
+    for _, part in pd.DataFrame(rows, columns=["grp", "g", "lo", "hi", "own", "cid", "v"]).groupby("g"):
+        x, cid, own = np.stack(part["v"].to_numpy()).astype(int), part["cid"].to_numpy(), part["own"].to_numpy()
+        size = x.sum(1)
+        for i in range(len(x)):
+            o = np.minimum(x[i], x).sum(1)
+            ok = (o >= _needed(np.full(len(x), size[i]), size, t)) & (cid > cid[i])
+            if part["lo"].iloc[0] != part["hi"].iloc[0]:
+                ok &= own != own[i]
+            want |= {(cid[i], c) for c in cid[ok]}
+    assert got == want and len(want) > 1000
+    levels = _levels(np.zeros(5000, int), np.zeros(5000, bool))
+    assert [len(x) for x in levels] == [313, 20, 2, 1] and PAGE == 16
