@@ -18,27 +18,38 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 RECORD_BLOCK = 2048
 ITEM_BLOCK = 256
+HELD = 256  # sums of pairs of item blocks that a task holds, 128 MB; more are passed on and added up behind it
 
 
-def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gram(batches: Iterator[pd.DataFrame], item_block: int = ITEM_BLOCK, held: int = HELD) -> Iterator[pd.DataFrame]:
     # A partition holds whole baskets, sorted; a basket's items may span batches.
     total: dict[tuple[int, int], np.ndarray] = {}
 
-    def add(items: np.ndarray, rows: np.ndarray, n: int) -> None:
-        block = items // ITEM_BLOCK
-        dense = {}
+    def add(items: np.ndarray, rows: np.ndarray, n: int) -> Iterator[pd.DataFrame]:
+        """Adds the products of one record block; sums are passed on when they become too many."""
+        block = items // item_block
+        sparse = {}  # of each item block the columns that are not empty
         for b in np.unique(block):
-            x = np.zeros((n, ITEM_BLOCK), np.float32)
             on = block == b
-            x[rows[on], items[on] % ITEM_BLOCK] = 1
-            dense[int(b)] = x
-        for i in dense:
-            for j in dense:
+            columns, at = np.unique(items[on] % item_block, return_inverse=True)
+            x = np.zeros((n, len(columns)), np.float32)
+            x[rows[on], at] = 1
+            sparse[int(b)] = columns, x
+        for i, (ci, xi) in sparse.items():
+            for j, (cj, xj) in sparse.items():
                 if i <= j:
+                    if (i, j) not in total:
+                        if len(total) >= held:
+                            yield from sums()
+                        total[i, j] = np.zeros((item_block, item_block), np.int64)
                     # A record block has 2048 rows, so float32 holds its counts exactly.
-                    part = dense[i].T @ dense[j]
-                    old = total.get((i, j))
-                    total[i, j] = part.astype(np.int64) if old is None else old + part.astype(np.int64)
+                    total[i, j][np.ix_(ci, cj)] += (xi.T @ xj).astype(np.int64)
+
+    def sums() -> Iterator[pd.DataFrame]:
+        for (i, j), m in total.items():
+            a, b = np.nonzero(np.triu(m, 1) if i == j else m)
+            yield pd.DataFrame({"x": a + i * item_block, "y": b + j * item_block, "n": m[a, b]})
+        total.clear()
 
     rest = pd.DataFrame({"basket": [], "item": []}, dtype=object)
     for pdf in batches:
@@ -47,14 +58,12 @@ def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = (code[-1] // RECORD_BLOCK) * RECORD_BLOCK if len(code) else 0  # the last block stays open
         for lo in range(0, whole, RECORD_BLOCK):
             on = slice(*np.searchsorted(code, [lo, lo + RECORD_BLOCK]))
-            add(rest["item"].to_numpy(np.int64)[on], code[on] - lo, RECORD_BLOCK)
+            yield from add(rest["item"].to_numpy(np.int64)[on], code[on] - lo, RECORD_BLOCK)
         rest = rest[code >= whole]
     if len(rest):
         code = (rest["basket"] != rest["basket"].shift()).cumsum().to_numpy() - 1
-        add(rest["item"].to_numpy(np.int64), code, int(code[-1]) + 1)
-    for (i, j), m in total.items():
-        a, b = np.nonzero(np.triu(m, 1) if i == j else m)
-        yield pd.DataFrame({"x": a + i * ITEM_BLOCK, "y": b + j * ITEM_BLOCK, "n": m[a, b]})
+        yield from add(rest["item"].to_numpy(np.int64), code, int(code[-1]) + 1)
+    yield from sums()
 
 
 def pair_lift(baskets: DataFrame, basket: str, item: str, min_count: int = 6, min_share: float = 0.005, min_lift: float = 4.0) -> DataFrame:
@@ -68,7 +77,8 @@ def pair_lift(baskets: DataFrame, basket: str, item: str, min_count: int = 6, mi
     which loses no pair, as n_ab is never above n_a.
 
     At most sum(n) / (min_share * S) items remain: the mean basket size divided
-    by ``min_share``, whatever the number of baskets; so a task's counts stay small.
+    by ``min_share``, whatever the number of baskets.  A task holds the sums of
+    HELD pairs of item blocks and passes on the rest.
     A single huge basket contributes each remaining item once.
     """
     spark = baskets.sparkSession

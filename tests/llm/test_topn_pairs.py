@@ -3,9 +3,11 @@ import random
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from memloom.llm.cooccur import clean_tag, pair_lift
+from memloom.llm.cooccur import _gram, clean_tag, pair_lift
 from memloom.llm.topn import top_n_per_group
 
 
@@ -77,3 +79,18 @@ def test_clean_tag(spark):
     rows = [(" #Foo ", "foo"), ("##a", "#a"), ("  ", None), ("#", None), (None, None), ("A b", "a b")]
     df = spark.createDataFrame(rows, "t string, want string")
     assert all(r["got"] == r["want"] for r in df.withColumn("got", clean_tag(F.col("t"))).collect())
+
+
+def test_gram_passes_sums_on_without_losing_counts():
+    rng = np.random.default_rng(1)
+    rows = sorted({(f"b{k // 9:04d}", int(x)) for k, x in enumerate(rng.integers(0, 60, 27_000))})
+    pdf = pd.DataFrame(rows, columns=["basket", "item"])
+    want = Counter()
+    for _, part in pdf.groupby("basket"):
+        want.update(combinations(sorted(part["item"]), 2))
+    for block, held in ((256, 256), (16, 2), (8, 1)):
+        got = Counter()
+        for out in _gram(iter([pdf[:5000], pdf[5000:5000], pdf[5000:]]), block, held):
+            for x, y, n in zip(out["x"], out["y"], out["n"]):
+                got[x, y] += n
+        assert got == want
