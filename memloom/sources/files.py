@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
-def read_repository(spark: SparkSession, root: str, space_id: str, include: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None, largest: int = 1 << 20) -> DataFrame:
+def read_repository(spark: SparkSession, root: str, space_id: str, include: list[str] | None = None, exclude: list[str] | None = None, since: str | None = None, largest: int | None = None) -> DataFrame:
     """(space_id, file_path, content, modified): the text files below ``root``.
 
     ``include`` and ``exclude`` are file endings (``.py``) and folder names;
     ``since`` keeps files modified at or after that time; files above ``largest``
-    bytes or with a zero byte are left out.  Size, time and name are decided
+    bytes, if that is given, or with a zero byte are left out.  Size, time and name are decided
     before a file is read.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = files.withColumn("file_path", F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace("\\", "/").split("/")[-1] + "/", ""))
-    base = base.where(F.col("length") <= largest)
+    if largest is not None:
+        base = base.where(F.col("length") <= largest)
     if since is not None:
         base = base.where(F.col("modificationTime") >= F.lit(since).cast("timestamp"))
     if include:

@@ -16,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_WRITTEN: dict[str, object] = {}  # path of each table written, with the file system it is on
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,10 +39,28 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     """Write ``df`` below the shared folder and return a frame that reads it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/memloom/{label}-{uuid.uuid4().hex}"
+    _remember(spark, path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _WRITTEN:
+        atexit.register(_forget)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _WRITTEN[path] = where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _forget() -> None:
+    """Deletes, when the driver ends, what no step has deleted before: nothing can read it any more."""
+    for where, fs in _WRITTEN.values():
+        try:
+            fs.delete(where, True)
+        except Exception:  # the JVM is gone or the folder is: there is nothing left to do
+            break
+    _WRITTEN.clear()
+
+
 def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files behind a frame made by ``materialize`` once nothing reads it."""
     jvm = spark.sparkContext._jvm
@@ -50,3 +69,5 @@ def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
         if "/memloom/" in parent.toString():
             fs = parent.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
             fs.delete(parent, True)
+            for path in [p for p in _WRITTEN if p.endswith("/" + parent.getName())]:
+                del _WRITTEN[path]

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 from collections import defaultdict
 
@@ -325,3 +326,15 @@ def test_repository_pages_and_vectors(spark, tmp_path):
     assert len(v) == 16 and sum(x * x for x in v) == pytest.approx(1) and value(spark, files.hashed_vector(F.lit(None).cast("string"), 4)) == [0.0] * 4
     (tmp_path / "e.json").write_text('{"a": 1}\nnot json\n')
     assert [r["_corrupt"] for r in files.read_json_events(spark, str(tmp_path / "e.json"), "a int").collect()] == [None, "not json"]
+
+
+def test_written_tables_go_with_the_driver(spark, monkeypatch):
+    from memloom.sources import shared
+
+    monkeypatch.setattr(shared, "_WRITTEN", {})
+    kept, dropped = shared.materialize(spark.range(5), "kept"), shared.materialize(spark.range(6), "dropped")
+    shared.drop_materialized(spark, dropped)
+    folder = os.path.dirname(kept.inputFiles()[0].removeprefix("file://"))
+    assert kept.count() == 5 and len(shared._WRITTEN) == 1 and os.path.isdir(folder)
+    shared._forget()
+    assert not os.path.isdir(folder) and not shared._WRITTEN
