@@ -47,6 +47,6 @@ def trigger_cooldown(spark, d):
 
 @query("node_stability")
 def node_stability(spark, d):
-    """Every delivery of a result strengthens its node."""
-    e = ST.read_events(spark, f"{d}/retrieve_results.parquet").where("node_id is not null").select("node_id", F.col("retrieved_at").alias("ts"))
-    return drain(ST.stability(e), spark)
+    """Every delivery of a result strengthens its node, in the order of time: one batch, as the cut of a table into files is no order."""
+    e = ST.read_events(spark, f"{d}/retrieve_results.parquet", files_per_trigger=None).where("node_id is not null").select("node_id", F.col("retrieved_at").alias("ts"))
+    return drain(ST.stability(e, buckets=max(256, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))), spark)

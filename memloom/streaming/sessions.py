@@ -9,10 +9,15 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def read_events(spark, path: str, schema=None, files_per_trigger: int = 1) -> DataFrame:
-    """A Parquet file or folder as a stream; the schema is that of the files there unless given."""
+def read_events(spark, path: str, schema=None, files_per_trigger: int | None = 1) -> DataFrame:
+    """A Parquet file or folder as a stream; the schema is that of the files there unless given.
+
+    Without ``files_per_trigger`` all that is there is one batch.
+    """
     schema = schema or spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
         events = reader.parquet(path)
@@ -65,19 +70,26 @@ def cooldown(triggers: DataFrame, seconds: int = 300, late: str = "10 minutes")
     return triggers.withWatermark("ts", late).groupBy("key").applyInPandasWithState(step, "key string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
 
 
-def stability(events: DataFrame, increase: float = 0.15, daily: float = 0.9) -> DataFrame:
-    """(node_id, at, stability): reinforcements raise a node's stability to 1 at most, days without lower it; state is two numbers per node."""
+def stability(events: DataFrame, increase: float = 0.15, daily: float = 0.9, buckets: int = 65_536) -> DataFrame:
+    """(node_id, at, stability): reinforcements raise a node's stability to 1 at most, days without lower it; state is two numbers per node.
+
+    The nodes of a hash bucket are folded in one call, as a call costs far more
+    than a node's few events.  Few buckets suit few large batches, many suit small
+    ones, as a bucket's state is written whole; a stream keeps the number it began with.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, last = state.get if state.exists else (0.1, None)
+        known = dict(zip(state.get[0], zip(state.get[1], state.get[2]))) if state.exists else {}
+        new = pd.concat(batches, ignore_index=True).sort_values("ts", kind="stable", ignore_index=True)
         out = []
-        for t in sorted(t for pdf in batches for t in pdf["ts"]):
-            us = int(t.value // 1000)
+        for node, us in zip(new["node_id"], new["ts"].astype("datetime64[us]").astype("int64").tolist()):
+            value, last = known.get(node, (0.1, None))
             days = 0.0 if last is None else max(0.0, (us - last) / 86_400e6)
             value = min(1.0, (value * daily**days if days > 1 else value) + increase)
-            last = us if last is None else max(last, us)
-            out.append((key[0], t, value))
-        state.update((value, last))
-        yield pd.DataFrame(out, columns=["node_id", "at", "stability"])
+            known[node] = value, us if last is None else max(last, us)
+            out.append(value)
+        state.update((list(known), [v for v, _ in known.values()], [t for _, t in known.values()]))
+        yield pd.DataFrame({"node_id": new["node_id"], "at": new["ts"], "stability": out})
 
-    return events.groupBy("node_id").applyInPandasWithState(step, "node_id string, at timestamp, stability double", "value double, last long", "append", GroupStateTimeout.NoTimeout)
+    bucket = F.pmod(F.xxhash64("node_id"), F.lit(buckets)).alias("bucket")
+    return events.select("node_id", "ts", bucket).groupBy("bucket").applyInPandasWithState(step, "node_id string, at timestamp, stability double", "nodes array<string>, value array<double>, last array<long>", "append", GroupStateTimeout.NoTimeout)
